@@ -1,0 +1,47 @@
+"""The queries of the operators of this package and, where SQL can say it, their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillgraph.common import table
+from quillgraph.llm.boilerplate import repeated_line_places
+from quillgraph.llm.leakage import leaked_items
+from quillgraph.llm.lookalike import same_looking_pairs
+from quillgraph.llm.tokens import encode_corpus
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of a line that stands in at least 8 documents of its site."""
+    return repeated_line_places(table(spark, sf_dir, "chunks"))
+
+
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every document's text by byte_bpe_50k."""
+    return encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with at least 13 consecutive words of an item's question or passage."""
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents with different text that reads the same."""
+    return same_looking_pairs(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+
+ORACLE = {
+    "p7_found": r"""WITH lines AS (
+  SELECT chunk_id, doc_name, split_part(doc_name, '|', 1) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
+  FROM (SELECT DISTINCT chunk_id, doc_name, text FROM chunks WHERE doc_name IS NOT NULL AND text IS NOT NULL)
+),
+keyed AS (
+  SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS k
+  FROM lines WHERE length(regexp_replace(line, '[^\p{L}]', '', 'g')) >= 10
+),
+often AS (SELECT site, k FROM keyed GROUP BY site, k HAVING count(DISTINCT doc_name) >= 8)
+SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed SEMI JOIN often USING (site, k)""",
+}
