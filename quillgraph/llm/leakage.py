@@ -68,33 +68,38 @@ class LeakIndex:
             return
         run, unknown = self.run, len(self.terms)
         words = [words_of(t) for t in texts]
-        passages: list[tuple[int, int]] = []
+        passages: list[tuple[int, int, int]] = []
         ids: list[np.ndarray] = []
         for k, w in enumerate(words):
             if len(w) < run:
                 continue
             known = np.fromiter((self.terms.get(x, unknown) for x in w), dtype=np.int64, count=len(w))
-            for start in range(0, max(1, len(w) - run + 1), width - run + 1):
-                part = np.unique(known[start : start + width])
-                part = part[part < unknown]
-                if len(part):
-                    passages.append((k, start))
-                    ids.append(part)
+            # a match lies within a stretch of words that the index knows
+            edges = np.flatnonzero(np.diff(np.concatenate(([0], known < unknown, [0]))))
+            for first, end in zip(edges[::2], edges[1::2]):
+                if end - first < run:
+                    continue
+                for start in range(first, end - run + 1, width - run + 1):
+                    stop = min(start + width, end)
+                    passages.append((k, start, stop))
+                    ids.append(np.unique(known[start:stop]))
         if not passages:
             return
         flat = np.concatenate(ids)
         starts = np.cumsum([0, *(len(x) for x in ids[:-1])])
         bounds = np.add.reduceat(self.bound[flat], starts, axis=0)
         seen: set[tuple[int, int]] = set()
+        grams: dict[int, set] = {}  # of the passage at hand
         for p, blk in zip(*np.nonzero(bounds >= 1 - 1e-4)):
             score = self.impact[ids[p], blk].sum(axis=0)
             for j in np.nonzero(score >= 1 - 1e-4)[0]:
-                (k, start), text = passages[p], blk * self.block + j
+                (k, start, stop), text = passages[p], blk * self.block + j
                 found = (k, int(self.items[text]))
                 if found in seen:
                     continue
-                w, grams = words[k], self.grams[text]
-                if any(tuple(w[i : i + run]) in grams for i in range(start, min(start + width, len(w)) - run + 1)):
+                if p not in grams:
+                    grams = {p: {tuple(words[k][i : i + run]) for i in range(start, stop - run + 1)}}
+                if not grams[p].isdisjoint(self.grams[text]):
                     seen.add(found)
                     yield found
 

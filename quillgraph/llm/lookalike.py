@@ -69,6 +69,8 @@ _TABLE = {ord(k): v for k, v in (single_characters() | LIGATURES).items()}
 
 def canonical(text: str) -> str:
     """The consistent form of one text, for code that is in Python anyway."""
+    if text.isascii():
+        return text
     return unicodedata.normalize("NFC", text.translate(_TABLE))
 
 

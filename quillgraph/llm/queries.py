@@ -8,9 +8,15 @@ from quillgraph.common import table
 from quillgraph.llm.boilerplate import repeated_line_places
 from quillgraph.llm.leakage import leaked_items
 from quillgraph.llm.lookalike import same_looking_pairs
+from quillgraph.llm.near_duplicates import near_duplicate_pairs
 from quillgraph.llm.tokens import encode_corpus
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks that share at least 0.7 of their words."""
+    return near_duplicate_pairs(table(spark, sf_dir, "chunks"), threshold=0.7)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every occurrence of a line that stands in at least 8 documents of its site."""
     return repeated_line_places(table(spark, sf_dir, "chunks"))
@@ -31,7 +37,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE = {
     "p7_found": r"""WITH lines AS (
