@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillgraph.common import table
 from quillgraph.llm.boilerplate import repeated_line_places
 from quillgraph.llm.leakage import leaked_items
 from quillgraph.llm.lookalike import same_looking_pairs
 from quillgraph.llm.near_duplicates import near_duplicate_pairs
+from quillgraph.llm.neighbours import most_similar
 from quillgraph.llm.tokens import encode_corpus
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar vectors of every usable vector of both collections."""
+    parts = [most_similar(table(spark, sf_dir, name), key).select(F.lit(name).alias("collection"), "item_id", "neighbour_id") for name, key in (("vectors", "chunk_id"), ("entities", "entity_id"))]
+    return parts[0].unionByName(parts[1])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of chunks that share at least 0.7 of their words."""
     return near_duplicate_pairs(table(spark, sf_dir, "chunks"), threshold=0.7)
@@ -37,7 +45,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
 ORACLE = {
     "p7_found": r"""WITH lines AS (
