@@ -24,19 +24,19 @@ CONFUSIONS = [
     ("m", "rn"), ("m", "in"), ("in", "m"), ("rn", "m"), ("d", "cl"), ("cl", "d"), ("n", "ri"), ("ri", "n"), ("u", "ii"), ("ii", "u"),
     ("h", "li"), ("li", "h"), ("w", "vv"), ("e", "c"), ("c", "e"), ("a", "o"), ("o", "a"), ("t", "f"), ("f", "t"), ("i", "l"), ("l", "i"),
     ("t", "l"), ("l", "t"), ("n", "u"), ("u", "n"), ("ni", "m"), ("m", "ni"), ("m", "nn"), ("h", "b"), ("b", "h"), ("tt", "u"), ("fi", "h"),
-    ("o", "0"), ("l", "1"), ("i", "1"), ("s", "5"), ("b", "6"), ("g", "9"), ("z", "2"), ("e", "3"), ("a", "4"), ("t", "7"), ("b", "8"), ("q", "9"),
+    ("o", "0"), ("l", "1"), ("i", "1"), ("s", "5"), ("b", "6"), ("g", "9"), ("z", "2"), ("e", "3"), ("a", "4"), ("t", "7"), ("b", "8"), ("q", "9"), ("c", "("), ("f", "{"),
 ]
 
 # The strokes of glyphs in a skeleton.
 STROKES = {
     "i": "|", "l": "|", "r": "|", "t": "|", "f": "|", "1": "|", "7": "|", "n": "||", "u": "||", "h": "||", "b": "||", "6": "||", "8": "||",
-    "m": "|||", "d": "c|", "e": "c", "3": "c", "a": "o", "0": "o", "4": "o", "5": "s", "9": "g", "q": "g", "w": "vv", "2": "z",
+    "m": "|||", "d": "c|", "e": "c", "3": "c", "a": "o", "0": "o", "4": "o", "5": "s", "9": "g", "q": "g", "w": "vv", "2": "z", "(": "c", "{": "|",
 }
 
 # Letters read for digits.
 DIGITS = {"l": "1", "I": "1", "i": "1", "|": "1", "o": "0", "O": "0", "b": "6", "B": "8", "S": "5", "s": "5", "g": "9", "q": "9", "Z": "2", "z": "2"}
 
-_TOKEN = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+_TOKEN = re.compile(r"[({]?[^\W_]+(?:['’({-][^\W_]+)*")
 _CUT = re.compile(r"[^\W_]-[ \t\r]*$")
 _BROKEN = re.compile(r"\S*[^\W_]-[ \t\r]*(?:\n\s*\S*|$)")
 _NUMBER = r"(?:[0-9lIioOSsBbZzgq]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})"
@@ -177,7 +177,7 @@ def _places(batches: Iterator) -> Iterator:
                     out.append((chunk, doc, page, i + 1, "cut", tokens[-1], following[0] if following else None, None, None))
                 inner = tokens[skip_first : len(tokens) - starts_cut]
                 for j, token in enumerate(inner):
-                    if token.islower() and token.isalpha() or re.search(r"\d", token) or len(token) <= 2 or token.islower():
+                    if token.islower() or len(token) <= 2 or re.search(r"\d", token):
                         out.append((chunk, doc, page, i + 1, "word", token, str(k == 0 and j == 0 or ""), inner[j - 1] if j else None, inner[j + 1] if j + 1 < len(inner) else None))
         columns = [*zip(*out)] or [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
@@ -204,9 +204,9 @@ def right_forms(words: DataFrame) -> DataFrame:
     one confusion away and much more frequent."""
     boned = words.mapInArrow(_with_skeleton, "word string, clean bigint, n bigint, bones string")
     boned = cut(boned)
-    good = boned.where((F.col("n") >= 2) & ~F.col("word").rlike("[0-9]")).select(F.col("word").alias("right"), F.col("n").alias("support"), "bones")
+    good = boned.where((F.col("n") >= 2) & ~F.col("word").rlike("[0-9({]")).select(F.col("word").alias("right"), F.col("n").alias("support"), "bones")
     pairs = boned.join(good, "bones").where(F.col("word") != F.col("right"))
-    digit = F.col("word").rlike("[0-9]")
+    digit = F.col("word").rlike("[0-9({]")
     rare = F.col("support") >= F.when(digit, 1).when(F.col("clean") == 0, RARE_UNSEEN * F.greatest("n", F.lit(1))).otherwise(RARE * F.col("n"))
     pairs = pairs.where(rare).select("word", "right", "support").mapInArrow(_confused, "word string, right string, support bigint")
     return pairs.groupBy("word").agg(F.max_by("right", F.struct("support", "right")).alias("right"))
