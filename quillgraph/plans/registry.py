@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillgraph.plans import problems
+from quillgraph.plans import problems, retrieval
 
-_MODULES = [problems]
+_MODULES = [problems, retrieval]
 
 
 def queries() -> dict[str, Callable]:
