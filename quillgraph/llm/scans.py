@@ -47,6 +47,8 @@ _CITED = re.compile(r"(?:\(see |\[|Cf\. |So )([^\W\d_]{4,})")
 #: A misread form is at most one in so many of the right form, and one in fewer
 #: if it never stands in clean text.
 RARE, RARE_UNSEEN = 20, 2
+#: Misread forms that may be broadcast after they were counted; of more, all words are joined.
+BROADCAST_FORMS = 500_000
 #: Sites of scanned documents.
 SCANNED = r"^[^|]*-(archive|records|papers)[0-9]+\|"
 
@@ -88,15 +90,10 @@ def _first(lines: list[str]) -> int | None:
     return next((i for i, line in enumerate(lines) if line.strip()), None)
 
 
-def _page_lines(lines: list[str], header: bool) -> dict[int, str]:
-    """The numbers (from 0) of the header and of lines with only a page number."""
-    filled = [i for i, line in enumerate(lines) if line.strip()]
-    kinds = {}
-    if header and filled:
-        kinds[filled[0]] = "header"
-    ends = [*filled[: 2 if header else 1], *filled[-1:]]
-    kinds.update({i: "page_number" for i in ends if i not in kinds and len(lines[i]) < 60 and _PAGE.fullmatch(lines[i]) and (len(filled) > 1)})
-    return kinds
+def _page_numbers(lines: list[str], filled: list[int]) -> set[int]:
+    """The lines (from 0) with only a page number: among the first two filled ones and the last."""
+    ends = {*filled[:2], *filled[-1:]} if len(filled) > 1 else set()
+    return {i for i in ends if len(lines[i]) < 60 and _PAGE.fullmatch(lines[i])}
 
 
 def _counts(batches: Iterator) -> Iterator:
@@ -123,62 +120,72 @@ def _counts(batches: Iterator) -> Iterator:
 
 
 def _heads(batches: Iterator) -> Iterator:
-    """Per page: the key of its first line, its flags, its names, the names it cites."""
+    """Per page that may have a header: the key of its first line, whether it is
+    sure to be one, its names; and the names that the page cites."""
     import pyarrow as pa
 
+    names = ["chunk", "doc", "head", "sure", "bare", "names", "cited"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
     for batch in batches:
         out = []
-        for chunk, doc, page, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
             lines = text.split("\n")
             at = _first(lines)
             line = lines[at] if at is not None else ""
             beside = _BESIDE.match(line)
             title = (beside["a"] or beside["b"]) if beside else line.strip()
             letters = [c for c in title if c.isalpha()]
-            bare = not re.search(r"[.,;:?!()\[\]]", title) and not title.endswith("-")
-            sure = bool(letters) and bare and (bool(beside) and title[0].isupper() or sum(c.isupper() for c in letters) > 0.8 * len(letters) and len(letters) > 5)
-            names = [skeleton(w.lower()) for w in _TOKEN.findall(title) if w[0].isupper()] if bare else []
+            bare = bool(letters) and not re.search(r"[.,;:?!()\[\]]", title) and not title.endswith("-")
+            sure = bare and (bool(beside) and title[0].isupper() or sum(c.isupper() for c in letters) > 0.8 * len(letters) and len(letters) > 5)
+            named = [skeleton(w.lower()) for w in _TOKEN.findall(title) if w[0].isupper()] if bare else []
             cited = {skeleton(w.lower()) for w in _CITED.findall(text)}
-            out.append((chunk, doc, page, text, header_key(line) if letters else None, sure, bare, names, [*cited]))
-        columns = [*zip(*out)] or [[] for _ in range(9)]
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["chunk", "doc", "page", "text", "head", "sure", "bare", "names", "cited"])
+            if bare or cited:
+                out.append((chunk, doc, header_key(line) if bare else None, sure, bare, named, [*cited]))
+        columns = [*zip(*out)] or [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
 
-_PLACES = "chunk bigint, doc string, page bigint, line_no int, kind string, word string, rest string, before string, after string"
+_PLACES = "chunk bigint, doc string, page bigint, line_no int, kind string, top boolean, word string, rest string, before string, after string"
+_LONE = re.compile("[" + "".join(c for c in DIGITS if c.isalpha()) + "]{1,3}")
 
 
-def _places(batches: Iterator) -> Iterator:
-    """Headers, page numbers, cut words, words of the body and the page's first word.
+def _places(batches: Iterator, wrong: set[str] | None) -> Iterator:
+    """Page numbers, cut words, doubtful words of the body and the page's first word.
 
-    Kinds: ``header``, ``page_number``; ``cut`` (word: up to the hyphen, rest:
-    what follows on the page, null at its end); ``word`` (with the words before
-    and after it on the line); ``first`` (the first word of the body).
+    Kinds: ``page_number``; ``cut`` (word: up to the hyphen, rest: what follows on
+    the page, null at its end); ``word`` (with the words before and after it on
+    the line; only forms in ``wrong``, if given, and what may be a number);
+    ``first`` (the first word of the body); ``line`` (a first line). What stands
+    on the first filled line, which may prove a header, is marked ``top``.
     """
     import pyarrow as pa
 
     names = [part.split()[0] for part in _PLACES.split(", ")]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), *[pa.string()] * 5]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.bool_(), *[pa.string()] * 4]
     for batch in batches:
         out = []
-        for chunk, doc, page, text, header in zip(*(c.to_pylist() for c in batch.columns)):
+        for chunk, doc, page, text in zip(*(c.to_pylist() for c in batch.columns)):
             lines = text.split("\n")
-            marked = _page_lines(lines, header)
-            out += [(chunk, doc, page, i + 1, kind, None, None, None, None) for i, kind in marked.items()]
-            body = [i for i, line in enumerate(lines) if line.strip() and i not in marked]
+            filled = [i for i, line in enumerate(lines) if line.strip()]
+            numbers = _page_numbers(lines, filled)
+            out += [(chunk, doc, page, i + 1, "page_number", False, None, None, None, None) for i in numbers]
+            body = [i for i in filled if i not in numbers]
+            if body and body[0] == filled[0]:
+                out.append((chunk, doc, page, body[0] + 1, "line", True, None, None, None, None))
             starts_cut = False
             for k, i in enumerate(body):
+                top = i == filled[0]
                 tokens = _TOKEN.findall(lines[i])
-                if k == 0 and tokens:
-                    out.append((chunk, doc, page, i + 1, "first", tokens[0], None, None, None))
+                if k < 2 and tokens:
+                    out.append((chunk, doc, page, i + 1, "first", top, tokens[0], None, None, None))
                 skip_first, starts_cut = starts_cut, bool(_CUT.search(lines[i])) and bool(tokens)
                 if starts_cut:
                     following = _TOKEN.findall(lines[body[k + 1]]) if k + 1 < len(body) else []
-                    out.append((chunk, doc, page, i + 1, "cut", tokens[-1], following[0] if following else None, None, None))
+                    out.append((chunk, doc, page, i + 1, "cut", top, tokens[-1], following[0] if following else None, None, None))
                 inner = tokens[skip_first : len(tokens) - starts_cut]
                 for j, token in enumerate(inner):
-                    if token.islower() or len(token) <= 2 or re.search(r"\d", token):
-                        out.append((chunk, doc, page, i + 1, "word", token, str(k == 0 and j == 0 or ""), inner[j - 1] if j else None, inner[j + 1] if j + 1 < len(inner) else None))
+                    if (token.islower() if wrong is None else token in wrong) or token.isdigit() or _LONE.fullmatch(token) or re.search(r"\d", token):
+                        out.append((chunk, doc, page, i + 1, "word", top, token, "" if j else tokens[0], inner[j - 1] if j else None, inner[j + 1] if j + 1 < len(inner) else None))
         columns = [*zip(*out)] or [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
@@ -198,16 +205,15 @@ def _confused(batches: Iterator) -> Iterator:
         yield batch.take(pa.array(kept, pa.int64()))
 
 
-def right_forms(words: DataFrame) -> DataFrame:
-    """``(word, right)`` of the misread among ``words`` (word, clean, n: how often
-    in clean text and at all): the most frequent form of the same skeleton that is
-    one confusion away and much more frequent."""
-    boned = words.mapInArrow(_with_skeleton, "word string, clean bigint, n bigint, bones string")
-    boned = cut(boned)
-    good = boned.where((F.col("n") >= 2) & ~F.col("word").rlike("[0-9({]")).select(F.col("word").alias("right"), F.col("n").alias("support"), "bones")
-    pairs = boned.join(good, "bones").where(F.col("word") != F.col("right"))
-    digit = F.col("word").rlike("[0-9({]")
-    rare = F.col("support") >= F.when(digit, 1).when(F.col("clean") == 0, RARE_UNSEEN * F.greatest("n", F.lit(1))).otherwise(RARE * F.col("n"))
+def right_forms(words: DataFrame, doubtful: DataFrame | None = None) -> DataFrame:
+    """``(word, right)`` of the misread among ``doubtful`` (all ``words`` if not
+    given; word, clean, n: how often in clean text and at all): the most frequent
+    form of the same skeleton that is one confusion away and much more frequent."""
+    boned = lambda df: df.mapInArrow(_with_skeleton, "word string, clean bigint, n bigint, bones string")
+    good = boned(words.where((F.col("n") >= 2) & ~F.col("word").rlike("[0-9({]"))).select(F.col("word").alias("right"), F.col("n").alias("support"), "bones")
+    pairs = boned(words if doubtful is None else doubtful).join(good, "bones").where(F.col("word") != F.col("right"))
+    odd = F.col("word").rlike("[0-9({]")
+    rare = F.col("support") >= F.when(odd, 1).when(F.col("clean") == 0, RARE_UNSEEN * F.greatest("n", F.lit(1))).otherwise(RARE * F.col("n"))
     pairs = pairs.where(rare).select("word", "right", "support").mapInArrow(_confused, "word string, right string, support bigint")
     return pairs.groupBy("word").agg(F.max_by("right", F.struct("support", "right")).alias("right"))
 
@@ -235,38 +241,44 @@ def scan_faults(df: DataFrame, chunk: str = "chunk_id", doc: str = "doc_name", p
     rows = df.select(F.col(chunk).cast("long").alias("chunk"), F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), F.col(text).cast("string").alias("text"))
     rows = rows.where(F.col("chunk").isNotNull() & F.col("doc").isNotNull() & F.col("text").isNotNull())
     is_scan = F.col("doc").rlike(scanned)
-    pages = rows.where(is_scan).dropDuplicates(["chunk"])
+    pages = rows.where(is_scan)
 
-    heads = cut(pages.mapInArrow(_heads, "chunk bigint, doc string, page bigint, text string, head string, sure boolean, bare boolean, names array<string>, cited array<string>"))
-    often = heads.where("head IS NOT NULL AND bare").groupBy("doc", "head").agg(F.count("*").alias("pages"), F.max("sure").alias("seen_sure")).where("pages > 1 OR seen_sure")
+    counted = rows.select("text", is_scan.alias("scanned")).mapInArrow(_counts, "word string, scanned boolean, n bigint")
+    counted = counted.groupBy(F.lower("word").alias("word")).agg(F.sum(F.when(F.col("scanned"), 0).otherwise(F.col("n"))).alias("clean"), F.sum("n").alias("n"))
+    counted = cut(counted)
+    repairs = cut(right_forms(counted))
+    wrong = None
+    if repairs.count() <= BROADCAST_FORMS:
+        wrong = df.sparkSession.sparkContext.broadcast({r.word for r in repairs.select("word").toLocalIterator()})
+    places = pages.select("chunk", "doc", "page", "text").mapInArrow(lambda b: _places(b, wrong and wrong.value), _PLACES)
+
+    heads = cut(pages.select("chunk", "doc", "text").mapInArrow(_heads, "chunk bigint, doc string, head string, sure boolean, bare boolean, names array<string>, cited array<string>"))
+    often = heads.where("head IS NOT NULL").groupBy("doc", "head").agg(F.countDistinct("chunk").alias("pages"), F.max("sure").alias("seen_sure")).where("pages > 1 OR seen_sure")
     cites = heads.select("doc", F.explode("cited").alias("name")).distinct()
-    named = heads.select("chunk", "doc", F.explode("names").alias("name")).join(cites, ["doc", "name"], "left_semi").select("chunk", F.lit(True).alias("named")).distinct()
-    headed = heads.join(often.select("doc", "head", F.lit(True).alias("often")), ["doc", "head"], "left").join(named, "chunk", "left")
-    header = F.coalesce(F.col("bare") & (F.col("often") | F.col("sure") | F.col("named")), F.lit(False))
-    places = cut(headed.select("chunk", "doc", "page", "text", header.alias("header")).mapInArrow(_places, _PLACES))
+    named = heads.select("chunk", "doc", F.explode("names").alias("name")).join(cites, ["doc", "name"], "left_semi").select("chunk")
+    repeated = heads.where("head IS NOT NULL").join(often.select("doc", "head"), ["doc", "head"], "left_semi").select("chunk")
+    headed = heads.where("sure").select("chunk").unionByName(named).unionByName(repeated).distinct().withColumn("headed", F.lit(True))
+    places = cut(places.join(headed, "chunk", "left").withColumn("headed", F.coalesce("headed", F.lit(False))))
+    marks = places.where("kind = 'page_number' OR kind = 'line' AND headed").select("chunk", "line_no", F.when(F.col("kind") == "line", "header").otherwise("page_number").alias("kind"), F.lit("").alias("fixed"))
+    places = places.where("NOT (top AND headed)")
 
     following = Window.partitionBy("doc").orderBy("page", "chunk")
-    edges = places.where("kind IN ('first', 'cut') AND (kind = 'first' OR rest IS NULL)")
-    per_page = edges.groupBy("doc", "page", "chunk").agg(F.max(F.when(F.col("kind") == "first", F.col("word"))).alias("first"))
-    next_word = per_page.select("chunk", F.when(F.lead("page").over(following) == F.col("page") + 1, F.lead("first").over(following)).alias("next"))
-    cuts = places.where("kind = 'cut'").join(next_word, "chunk", "left").select("chunk", "line_no", "word", F.coalesce("rest", "next").alias("rest")).where("rest IS NOT NULL")
-    cuts = cuts.select("chunk", "line_no", F.concat("word", "rest").alias("closed"), F.concat_ws("-", "word", "rest").alias("hyphened"))
-    # the first word of a page may be the rest of a word cut on the page before
-    before = Window.partitionBy("doc").orderBy("page", "chunk")
-    ends = edges.where("kind = 'cut'").select("chunk", F.lit(True).alias("ends_cut")).distinct()
-    continued = per_page.join(ends, "chunk", "left").select("chunk", F.lag("ends_cut").over(before).alias("continued"))
+    first = F.min_by("word", F.when(F.col("kind") == "first", F.col("line_no")))
+    ends_cut = F.max((F.col("kind") == "cut") & F.col("rest").isNull())
+    per_page = places.where("kind IN ('first', 'cut')").groupBy("doc", "page", "chunk").agg(first.alias("first"), ends_cut.alias("ends_cut"))
+    near = F.lead("page").over(following) == F.col("page") + 1
+    linked = per_page.select("chunk", "first", F.when(near, F.lead("first").over(following)).alias("next"), F.coalesce(F.lag("ends_cut").over(following), F.lit(False)).alias("continued"))
+    linked = cut(linked)
+    cuts = places.where("kind = 'cut'").join(linked.select("chunk", "next"), "chunk", "left").select("chunk", "line_no", "word", F.coalesce("rest", "next").alias("rest")).where("rest IS NOT NULL").distinct()
+    cuts = cut(cuts.select("chunk", "line_no", F.concat("word", "rest").alias("closed"), F.concat_ws("-", "word", "rest").alias("hyphened")))
 
-    counted = rows.select("text", is_scan.alias("scanned")).mapInArrow(_counts, "word string, scanned boolean, n bigint")
-    counted = cut(counted.groupBy("word").agg(F.sum(F.when(F.col("scanned"), 0).otherwise(F.col("n"))).alias("clean"), F.sum("n").alias("n")))
-    lower = counted.groupBy(F.lower("word").alias("word")).agg(F.sum("clean").alias("clean"), F.sum("n").alias("n"))
     joined = cuts.select(F.explode(F.array("closed", "hyphened")).alias("word")).select(F.lower("word").alias("word")).distinct()
-    lower = lower.join(joined, "word", "full").select("word", F.coalesce("clean", F.lit(0)).alias("clean"), F.coalesce("n", F.lit(0)).alias("n"))
-    lower = cut(lower)
-    repairs = cut(right_forms(lower))
-
-    known = lambda name: lower.select(F.col("word").alias(f"{name}_key"), F.col("n").alias(f"{name}_n")).join(repairs.select(F.col("word").alias(f"{name}_key"), F.col("right").alias(f"{name}_right")), f"{name}_key", "left")
-    whole = cuts.withColumns({f"{c}_key": F.lower(c) for c in ("closed", "hyphened")}).join(known("closed"), "closed_key", "left").join(known("hyphened"), "hyphened_key", "left")
-    case = lambda form, like: F.when(F.lower(like) == form, F.col(like)).when(F.lower(F.substring(like, 1, 1)) != F.substring(like, 1, 1), F.initcap(form)).otherwise(form)
+    unseen = joined.join(counted, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("clean"), F.lit(0).cast("bigint").alias("n"))
+    seen = counted.unionByName(unseen)
+    rights = cut(repairs.unionByName(right_forms(seen, unseen)))
+    known = lambda name: joined.join(counted, "word", "left").join(rights, "word", "left").select(F.col("word").alias(f"{name}_key"), F.coalesce("n", F.lit(0)).alias(f"{name}_n"), F.col("right").alias(f"{name}_right"))
+    whole = cuts.withColumns({f"{c}_key": F.lower(c) for c in ("closed", "hyphened")}).join(known("closed"), "closed_key").join(known("hyphened"), "hyphened_key")
+    case = lambda form, like: F.when(F.lower(like) == form, F.col(like)).when(F.lower(F.substring(like, 1, 1)) != F.substring(like, 1, 1), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, 2, 10_000))).otherwise(form)
     fixed = (
         F.when(F.col("hyphened_n") > F.col("closed_n"), case(F.coalesce("hyphened_right", "hyphened_key"), "hyphened"))
         .when((F.col("closed_n") > 0) | F.col("closed_right").isNotNull(), case(F.coalesce("closed_right", "closed_key"), "closed"))
@@ -275,16 +287,18 @@ def scan_faults(df: DataFrame, chunk: str = "chunk_id", doc: str = "doc_name", p
     )
     hyphens = whole.select("chunk", "line_no", F.lit("hyphen").alias("kind"), fixed.alias("fixed"))
 
-    words = places.where("kind = 'word'").join(continued, "chunk", "left").where("NOT (coalesce(continued, false) AND rest = 'True')").select("chunk", "line_no", "word", "before", "after")
+    # the first word of a page may be the rest of a word cut on the page before
+    words = places.where("kind = 'word'").join(linked.where("continued").select("chunk", F.col("first").alias("rest"), F.lit(True).alias("continued")), ["chunk", "rest"], "left")
+    first_line = places.where("kind = 'first'").groupBy("chunk").agg(F.min("line_no").alias("first_line"))
+    words = words.join(first_line, "chunk", "left").where("NOT (coalesce(continued, false) AND line_no = first_line AND before IS NULL AND word = rest)")
     number = _number(F.col("word"))
     # letters alone stand for a number where numbers stand between the same words
-    slots = words.where("before IS NOT NULL AND after IS NOT NULL").groupBy("before", "after").agg(F.count_if(F.col("word").rlike("^[0-9]+$")).alias("numbers"), F.count("*").alias("n"))
-    slots = slots.where("numbers >= 3 AND 2 * numbers > n").select("before", "after", F.lit(True).alias("slot"))
-    bare = F.when(F.col("slot") & F.col("word").rlike(f"^[{''.join(c for c in DIGITS if c.isalpha())}]{{1,3}}$"), F.translate("word", "".join(DIGITS), "".join(DIGITS.values())))
-    lone = words.join(slots, ["before", "after"]).where(bare.isNotNull()).select("chunk", "line_no", bare.alias("fixed"))
+    lone = F.col("word").rlike(f"^{_LONE.pattern}$")
+    slots = words.where("before IS NOT NULL AND after IS NOT NULL").groupBy("before", "after").agg(F.count_if(F.col("word").rlike("^[0-9]+$")).alias("numbers"), F.count_if(lone).alias("letters"))
+    slots = slots.where("numbers >= 3 AND numbers > 2 * letters").select("before", "after")
+    read = F.translate("word", "".join(DIGITS), "".join(DIGITS.values()))
+    letters = words.where(lone).join(slots, ["before", "after"], "left_semi").select("chunk", "line_no", read.alias("fixed"))
     numbers = words.where(number.isNotNull()).select("chunk", "line_no", number.alias("fixed"))
-    wrong = words.where(number.isNull() & (F.lower("word") == F.col("word")) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).join(repairs, "word").select("chunk", "line_no", F.col("right").alias("fixed"))
-    misread = lone.unionByName(numbers).unionByName(wrong).select("chunk", "line_no", F.lit("misread").alias("kind"), "fixed")
-    marks = places.where("kind IN ('header', 'page_number')").select("chunk", "line_no", "kind", F.lit("").alias("fixed"))
-    found = marks.unionByName(hyphens).unionByName(misread).distinct()
-    return found.withColumnRenamed("chunk", chunk)
+    spelt = words.where(number.isNull() & (F.lower("word") == F.col("word")) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).join(repairs, "word").select("chunk", "line_no", F.col("right").alias("fixed"))
+    misread = letters.unionByName(numbers).unionByName(spelt).select("chunk", "line_no", F.lit("misread").alias("kind"), "fixed")
+    return marks.unionByName(hyphens).unionByName(misread).distinct().withColumnRenamed("chunk", chunk)
