@@ -119,7 +119,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def elapsed_days(then: Column, now: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then)) / 86_400e6), F.lit(0.0))
+    return F.coalesce(F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(then.cast("timestamp"))) / 86_400e6), F.lit(0.0))
 
 
 def stability(reinforcement: Column, base: float = 30.0, boost: float = 1.5) -> Column:
@@ -150,7 +150,7 @@ def relative_reduction(before: Column, after: Column) -> Column:
 
 def infer_gender(text: Column) -> Column:
     """The gender whose pronouns occur more, by whole words; null on a tie."""
-    count = lambda words: sum((text.rlike(rf"(?i)\b{w}\b").cast("int") for w in words), F.lit(0))
+    count = lambda words: sum((text.rlike(rf"(?i)(?:^|[^\p{{L}}\p{{M}}\p{{N}}_]){w}(?:$|[^\p{{L}}\p{{M}}\p{{N}}_])").cast("int") for w in words), F.lit(0))
     male, female = count(["he", "him", "his", "himself"]), count(["she", "her", "hers", "herself"])
     return F.when(male > female, "Male").when(female > male, "Female")
 

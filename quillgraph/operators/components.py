@@ -21,6 +21,8 @@ def connected_components(pairs: DataFrame, a: str, b: str, max_rounds: int = 50)
     start = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).dropna()
     alone = start.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     edges = cut(start.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    if edges.isEmpty():
+        return alone.withColumn("component", F.col("node"))
     for _ in range(max_rounds):
         both = edges.union(edges.select(F.col("v"), F.col("u")).toDF("u", "v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
