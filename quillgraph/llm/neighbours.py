@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quillgraph.common import cut
 
 #: Tables, and buckets that a query visits in each.
-TABLES, PROBES = 4, 12
+TABLES, PROBES = 4, 12  # a bucket's number modulo the tables is its table
 #: Width of a slot in units of the mean projection of a unit vector, 1/sqrt(dim).
 WIDTH = 2.3
 #: Directions of a table up to SPARSE vectors; one more for every factor of 4 beyond.
@@ -151,38 +151,50 @@ def compare_cell(buckets, queries, ids, raw, k: int):
     if not len(asks) or not len(holds):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     names, row_of = np.unique(ids[asks], return_inverse=True)
+    # Of each query the best scores within the present table, whose buckets have no
+    # vector in common, and the least score that can still matter.
+    top = np.full((len(names), kept), -2.0, dtype=np.float32)
     least = np.full(len(names), -2.0, dtype=np.float32)
     found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
-    pending = 0
+    pending, table = 0, None
 
     def settle():
         nonlocal found, pending
-        best = _best(*(np.concatenate(x) for x in zip(*found)), kept)
-        found, pending = [best], 0
-        ends = np.flatnonzero(np.append(best[0][1:] != best[0][:-1], True)) if len(best[0]) else np.zeros(0, np.int64)
-        size = np.diff(np.concatenate(([-1], ends)))
-        full = ends[size == kept]
-        least[best[0][full]] = best[2][full]
+        found, pending = [_best(*(np.concatenate(x) for x in zip(*found)), kept)], 0
 
     asks, row_of = asks[order := np.argsort(buckets[asks], kind="stable")], row_of[order]
     holds = holds[np.argsort(buckets[holds], kind="stable")]
     values, starts = np.unique(buckets[holds], return_index=True)
     ends = np.append(starts[1:], len(holds))
     lo, hi = np.searchsorted(buckets[asks], values), np.searchsorted(buckets[asks], values, side="right")
-    for begin, end, q0, q1 in zip(starts, ends, lo, hi):
-        inside = holds[begin:end]
-        for q in range(q0, q1, 1024):
-            who, rows = asks[q : min(q + 1024, q1)], row_of[q : min(q + 1024, q1)]
+    for v in np.lexsort((values, values % TABLES)):
+        inside = holds[starts[v] : ends[v]]
+        if values[v] % TABLES != table:
+            table = values[v] % TABLES
+            top.fill(-2)
+        for q in range(lo[v], hi[v], 1024):
+            who, rows = asks[q : min(q + 1024, hi[v])], row_of[q : min(q + 1024, hi[v])]
             score = unit[who] @ unit[inside].T
-            if len(inside) > kept and (least[rows] < -1).any():
-                bar = np.partition(score, len(inside) - kept, axis=1)[:, len(inside) - kept]
-                bar = np.maximum(least[rows], bar)
-            else:
-                bar = least[rows]
-            r, c = np.nonzero(score >= bar[:, None])
-            found.append((rows[r], ids[inside[c]], score[r, c]))
+            fresh = np.flatnonzero(least[rows] < -1)  # asks for the first time
+            if len(fresh) and len(inside) > kept:
+                least[rows[fresh]] = np.partition(score[fresh], len(inside) - kept, axis=1)[:, len(inside) - kept]
+            r, c = np.nonzero(score >= least[rows][:, None])
+            if not len(r):
+                continue
+            value = score[r, c]
+            found.append((rows[r], ids[inside[c]], value))
+            order = np.lexsort((-value, r))
+            r, value = r[order], value[order]
+            first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+            rank = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+            here = r[first]
+            new = np.full((len(here), kept), -2.0, dtype=np.float32)
+            new[np.repeat(np.arange(len(here)), np.diff(np.append(first, len(r))))[rank < kept], rank[rank < kept]] = value[rank < kept]
+            both = np.partition(np.concatenate([top[rows[here]], new], axis=1), kept, axis=1)[:, kept:]
+            top[rows[here]] = both
+            least[rows[here]] = np.maximum(least[rows[here]], both.min(axis=1))
             pending += len(r)
-            if pending > 500_000:
+            if pending > 1_000_000:
                 settle()
     settle()
     rows, hits, _ = found[0]
@@ -204,7 +216,8 @@ def most_similar(df: DataFrame, key: str, embedding: str = "embedding", k: int =
     each usable vector (see :func:`usable_vectors`), ties by the smaller id.
 
     Approximate: a neighbour that shares no visited bucket is missed (recall
-    against brute force is in the README). Every vector is indexed and asks. A
+    against brute force is in the README). Every vector is indexed and asks; one
+    that meets fewer than k others is compared with all, block by block. A
     bucket larger than a block is split into blocks that all its queries visit,
     so a bucket that holds a third of all vectors is spread over many tasks and
     loses nothing. With fewer than k + 1 vectors there are fewer rows; an empty
@@ -245,7 +258,7 @@ def most_similar(df: DataFrame, key: str, embedding: str = "embedding", k: int =
     every = lambda count: F.sequence(F.lit(0), F.col(count) - 1)
     rows = rows.withColumn("bv", F.explode(F.when(F.col("asks"), every("nv")).otherwise(mine("nv"))))
     rows = rows.withColumn("bq", F.explode(F.when(F.col("asks"), mine("nq")).otherwise(every("nq"))))
-    block = F.when((F.col("nv") > 1) | (F.col("nq") > 1), F.xxhash64("bucket", "bv", "bq")).otherwise(F.col("bucket"))
+    block = F.when((F.col("nv") > 1) | (F.col("nq") > 1), F.shiftleft(F.xxhash64("bucket", "bv", "bq"), 2) + F.pmod("bucket", F.lit(TABLES))).otherwise(F.col("bucket"))
     rows = rows.select(block.alias("bucket"), "asks", "id", "vec").withColumn("cell", F.pmod(F.xxhash64("bucket"), F.lit(cells)).cast("int"))
 
     def compare(part):
@@ -259,8 +272,26 @@ def most_similar(df: DataFrame, key: str, embedding: str = "embedding", k: int =
         offsets = pa.array(np.append(starts, len(names)).astype(np.int32))
         return pa.Table.from_arrays([pa.array(names[starts]), pa.ListArray.from_arrays(offsets, pa.array(hits)), pa.ListArray.from_arrays(offsets, pa.array(exact))], names=["item_id", "ids", "cosines"])
 
-    found = rows.groupBy("cell").applyInArrow(compare, "item_id bigint, ids array<bigint>, cosines array<double>")
+    best = cut(_merged(rows.groupBy("cell").applyInArrow(compare, _FOUND), k))
+    # the exact way for the few that met fewer than k: every block of vectors
+    alone = vectors.join(best.where(F.size("e") >= min(k, n - 1)).select(F.col("item_id").alias("id")), "id", "left_anti")
+    alone = cut(alone)
+    m = alone.count()
+    if m:
+        nv, nq = -(-n // BLOCK_VECTORS), -(-m // BLOCK_QUERIES)
+        block = lambda count: F.pmod(F.xxhash64("id"), F.lit(count))
+        held = vectors.select("id", "vec", F.lit(False).alias("asks"), block(nv).alias("bv"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("bq"))
+        asked = alone.select("id", "vec", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).alias("bv"), block(nq).alias("bq"))
+        exact = held.unionByName(asked).select((F.col("bv").cast("bigint") * nq + F.col("bq")).alias("bucket"), "asks", "id", "vec").withColumn("cell", F.col("bucket")).groupBy("cell").applyInArrow(compare, _FOUND)
+        best = best.join(alone.select(F.col("id").alias("item_id")), "item_id", "left_anti").unionByName(_merged(exact, k))
+    return best.select("item_id", F.explode("e").alias("e")).select("item_id", F.col("e.id").alias("neighbour_id"), (-F.col("e.d")).alias("similarity"))
+
+
+_FOUND = "item_id bigint, ids array<bigint>, cosines array<double>"
+
+
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """``(item_id, e)``: the k best of all that was found for an item, as (d, id), d the negative cosine."""
     entries = F.transform(F.arrays_zip("ids", "cosines"), lambda x: F.struct((-x["cosines"]).alias("d"), x["ids"].alias("id")))
     merged = found.groupBy("item_id").agg(F.flatten(F.collect_list(entries)).alias("e"))
-    top = F.slice(F.array_sort(F.array_distinct("e")), 1, k)
-    return merged.select("item_id", F.explode(top).alias("e")).select("item_id", F.col("e.id").alias("neighbour_id"), (-F.col("e.d")).alias("similarity"))
+    return merged.select("item_id", F.slice(F.array_sort(F.array_distinct("e")), 1, k).alias("e"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.common import table
 from quillgraph.llm.boilerplate import repeated_line_places
 from quillgraph.llm.leakage import leaked_items
-from quillgraph.llm.lookalike import same_looking_pairs
+from quillgraph.llm.lookalike import LIGATURES, same_looking_pairs, single_characters
 from quillgraph.llm.names import same_entity_pairs
 from quillgraph.llm.near_duplicates import near_duplicate_pairs
 from quillgraph.llm.neighbours import most_similar
@@ -59,7 +59,31 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 
+
+
+def _consistent(column: str) -> str:
+    """The consistent form of a text, as SQL."""
+    table = single_characters()
+    kept, gone = [c for c in table if table[c]], [c for c in table if not table[c]]
+    for ligature, letters in LIGATURES.items():
+        column = f"replace({column}, '{ligature}', '{letters}')"
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    return f"nfc_normalize(translate({column}, {quoted(''.join(kept + gone))}, {quoted(''.join(table[c] for c in kept))}))"
+
+
+def _runs(key: str, source: str) -> str:
+    """Every run of 13 words of a text, as SQL."""
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i + 12], ' ') AS run
+  FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, regexp_extract_all(lower({_consistent('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}))"""
+
+
 ORACLE = {
+    "p9_found": f"""WITH item AS (SELECT item_id, question AS text FROM eval_cases UNION ALL SELECT item_id, passage FROM eval_cases),
+a AS ({_runs('item_id', 'item')}), b AS ({_runs('doc_id', 'documents')})
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (run)""",
+    "p10_found": f"""WITH f AS (SELECT doc_id, text, {_consistent('text')} AS form FROM documents WHERE text IS NOT NULL),
+g AS (SELECT * FROM f WHERE regexp_matches(form, '[^\\s]'))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
     "p7_found": r"""WITH lines AS (
   SELECT chunk_id, doc_name, split_part(doc_name, '|', 1) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM (SELECT DISTINCT chunk_id, doc_name, text FROM chunks WHERE doc_name IS NOT NULL AND text IS NOT NULL)
