@@ -45,8 +45,8 @@ def test_convergence(spark):
 
 
 def test_bm25_and_fusion(spark):
-    docs = spark.createDataFrame([(1, "dream rag retrieval evaluation"), (2, "cats and dogs"), (3, None), (4, "")], "doc_id long, text string")
-    queries = spark.createDataFrame([(1, "dream retrieval retrieval")], "query_id long, text string")
+    docs = spark.createDataFrame([(1, "text graph retrieval evaluation"), (2, "cats and dogs"), (3, None), (4, "")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "text retrieval retrieval")], "query_id long, text string")
     scored = Q.bm25_scores(docs, queries).collect()
     assert [r.doc_id for r in scored] == [1]
     idf, norm = math.log(1 + 3.5 / 1.5), 2.5 / (1 + 1.5 * (0.25 + 0.75 * 4 / 1.75))
