@@ -241,3 +241,18 @@ def with_provider(docs: DataFrame, provider: Callable[[list[str]], list[list[tup
 def inside_order(rows: DataFrame, budget: int) -> DataFrame:
     """The ``budget`` least confident entities, for another extraction."""
     return rows.withColumn("r", F.row_number().over(Window.orderBy("confidence", "entity_id"))).where(F.col("r") <= budget).drop("r") if budget else rows.limit(0)
+
+
+PAYLOAD = "entities array<struct<name:string,type:string,description:string,fields:map<string,string>>>, relations array<struct<`from`:string,`to`:string,relation:string>>"
+
+
+def parse_payload(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (chunk_id, name, entity_type, description, fields) and relations
+    (chunk_id, src, dst, relation_type) of a model's answers (chunk_id, answer):
+    JSON, also fenced; what cannot be read gives no rows."""
+    body = F.regexp_replace(F.trim("answer"), r"^```(json)?\s*|\s*```$", "")
+    rows = answers.select("chunk_id", F.from_json(body, PAYLOAD, {"mode": "PERMISSIVE"}).alias("p"))
+    e = rows.select("chunk_id", F.explode("p.entities").alias("e")).where(F.trim("e.name") != "")
+    r = rows.select("chunk_id", F.explode("p.relations").alias("r")).where("r.`from` IS NOT NULL AND r.`to` IS NOT NULL")
+    entities = e.select("chunk_id", F.trim("e.name").alias("name"), F.coalesce("e.type", F.lit("Unknown")).alias("entity_type"), "e.description", "e.fields")
+    return entities, r.select("chunk_id", F.col("r.from").alias("src"), F.col("r.to").alias("dst"), F.col("r.relation").alias("relation_type"))

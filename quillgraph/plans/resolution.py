@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillgraph.functions import names as N
 from quillgraph.functions import scalar as S
 from quillgraph.operators import resolution as R
 from quillgraph.plans.base import REL, entities, norm, relations
@@ -98,10 +99,22 @@ def gender_inference(s, d):
     return table(s, d, "documents").where("text IS NOT NULL").select("doc_id", S.infer_gender(F.col("text")).alias("gender"))
 
 
+def name_clean(s, d):
+    e = entities(s, d).select("entity_id", F.regexp_replace("name", r"\.", "_").alias("name"))
+    return e.select("entity_id", N.clean_entity_name(F.col("name")).alias("name"))
+
+
+def jaro_winkler(s, d):
+    pairs = R.middle_drop(entities(s, d)).unionByName(R.fuzzy(entities(s, d))).distinct()
+    names = entities(s, d).select("entity_id", S.normalize_name(F.col("name")).alias("n"))
+    rows = pairs.join(names.toDF("keep_id", "a"), "keep_id").join(names.toDF("drop_id", "b"), "drop_id")
+    return rows.select("keep_id", "drop_id", F.round(R.jaro_winkler_column("a", "b"), 4).alias("similarity"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        dedup_exact, dedup_honorific, dedup_alias, dedup_subset, dedup_fuzzy, dedup_qualification, dedup_first_name, dedup_unique_surname, dedup_middle_drop, dedup_neighbour, dedup_embedding,
+        name_clean, jaro_winkler, dedup_exact, dedup_honorific, dedup_alias, dedup_subset, dedup_fuzzy, dedup_qualification, dedup_first_name, dedup_unique_surname, dedup_middle_drop, dedup_neighbour, dedup_embedding,
         dedup_greedy, dedup_blocks, desc_divergence, normalize_name, stripped_key, strip_qualifications, name_validity, entity_ids, entity_embed_text, gender_inference,
     )
 }
@@ -162,6 +175,8 @@ SELECT DISTINCT keep_id, drop_id FROM (SELECT keep_id, drop_id, x.relation_type
     "desc_divergence": f"""WITH {_N}, p AS ({_FUZZY} UNION {_MIDDLE}),
 j AS (SELECT keep_id, drop_id, a.description AS da, b.description AS db, {_SIG('a.description')} AS wa, {_SIG('b.description')} AS wb FROM p JOIN entities a ON a.entity_id = keep_id JOIN entities b ON b.entity_id = drop_id)
 SELECT keep_id, drop_id FROM j WHERE length(da) >= 20 AND length(db) >= 20 AND len(list_intersect(wa, wb)) / greatest(1, len(list_distinct(list_concat(wa, wb)))) < 0.5""",
+    "jaro_winkler": f"""WITH {_N}, p AS ({_FUZZY} UNION {_MIDDLE})
+SELECT keep_id, drop_id, round(jaro_winkler_similarity(a.norm, b.norm), 4) AS similarity FROM p JOIN n a ON a.entity_id = keep_id JOIN n b ON b.entity_id = drop_id""",
     "normalize_name": f"SELECT entity_id, {norm('name')} AS norm FROM entities",
     "stripped_key": f"SELECT entity_id, {_KEY('name')} AS key FROM entities",
     "strip_qualifications": f"SELECT entity_id, {_STRIP('name')} AS bare FROM (SELECT entity_id, CASE WHEN entity_id % 3 = 0 THEN name || ' Ph.D. BA' ELSE name END AS name FROM entities)",

@@ -88,3 +88,22 @@ def load_corpus_schema(path: str, defaults: dict) -> dict:
     with open(path) as file:
         given = json.load(file)
     return {key: given.get(key) or value for key, value in defaults.items()} | {k: v for k, v in given.items() if k not in defaults}
+
+
+def load_corpus(spark: SparkSession, path: str, longest: int | None = None) -> DataFrame:
+    """``(doc_id, topic, text)`` of the files ``<topic>/documents/<file>`` below
+    ``path``; doc_id is ``topic|file``. ``longest`` cuts texts, if given."""
+    files = list_files(spark, path).where(F.col("path").rlike("/documents/[^/]+$"))
+    topic = F.element_at(F.split("path", "/"), -3)
+    named = files.withColumn("doc_name", F.concat_ws("|", topic, "doc_name"))
+    text = F.col("text") if longest is None else F.substring("text", 1, longest)
+    return read_documents(named).select(F.col("doc_name").alias("doc_id"), F.substring_index("doc_name", "|", 1).alias("topic"), text.alias("text"))
+
+
+def load_questions(spark: SparkSession, path: str) -> DataFrame:
+    """``(query_id, topic, question, answer)`` of CSV files with a header, named by
+    topic, the question in the first column and the answer in the second."""
+    rows = spark.read.option("header", "true").option("multiLine", "true").schema("question string, answer string").csv(path)
+    topic = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1), "_", " ")
+    rows = rows.where(F.trim("question") != "").select(topic.alias("topic"), "question", "answer")
+    return rows.withColumn("query_id", F.concat(F.col("topic"), F.lit("|"), F.md5("question")))
