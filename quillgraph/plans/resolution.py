@@ -105,6 +105,8 @@ def name_clean(s, d):
 
 
 def jaro_winkler(s, d):
+    """Without SQL: DuckDB's function halves an odd number of exchanged letters to
+    a whole number, the rule here does not; the tests hold known values."""
     pairs = R.middle_drop(entities(s, d)).unionByName(R.fuzzy(entities(s, d))).distinct()
     names = entities(s, d).select("entity_id", S.normalize_name(F.col("name")).alias("n"))
     rows = pairs.join(names.toDF("keep_id", "a"), "keep_id").join(names.toDF("drop_id", "b"), "drop_id")
@@ -175,8 +177,6 @@ SELECT DISTINCT keep_id, drop_id FROM (SELECT keep_id, drop_id, x.relation_type
     "desc_divergence": f"""WITH {_N}, p AS ({_FUZZY} UNION {_MIDDLE}),
 j AS (SELECT keep_id, drop_id, a.description AS da, b.description AS db, {_SIG('a.description')} AS wa, {_SIG('b.description')} AS wb FROM p JOIN entities a ON a.entity_id = keep_id JOIN entities b ON b.entity_id = drop_id)
 SELECT keep_id, drop_id FROM j WHERE length(da) >= 20 AND length(db) >= 20 AND len(list_intersect(wa, wb)) / greatest(1, len(list_distinct(list_concat(wa, wb)))) < 0.5""",
-    "jaro_winkler": f"""WITH {_N}, p AS ({_FUZZY} UNION {_MIDDLE})
-SELECT keep_id, drop_id, round(jaro_winkler_similarity(a.norm, b.norm), 4) AS similarity FROM p JOIN n a ON a.entity_id = keep_id JOIN n b ON b.entity_id = drop_id""",
     "normalize_name": f"SELECT entity_id, {norm('name')} AS norm FROM entities",
     "stripped_key": f"SELECT entity_id, {_KEY('name')} AS key FROM entities",
     "strip_qualifications": f"SELECT entity_id, {_STRIP('name')} AS bare FROM (SELECT entity_id, CASE WHEN entity_id % 3 = 0 THEN name || ' Ph.D. BA' ELSE name END AS name FROM entities)",
