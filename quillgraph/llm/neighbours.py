@@ -28,8 +28,12 @@ WIDTH = 2.3
 DIRECTIONS, SPARSE = 5, 500_000
 #: Rows of one block: a bucket with more vectors or queries is split into blocks.
 BLOCK_VECTORS, BLOCK_QUERIES = 8_192, 65_536
+#: Vectors of a cell, the buckets that one task compares, on average.
+CELL_VECTORS = 16_384
 #: Split buckets that may be broadcast (24 bytes each) after they were counted.
 BROADCAST_BUCKETS = 500_000
+#: What a cosine in single precision may differ by for equal vectors.
+_NOISE = 2e-6
 
 
 def perturbations(directions: int, most: int = 3):
@@ -89,9 +93,9 @@ def _unit(raw):
     import numpy as np
 
     wide = raw.astype(np.float64)
-    scale = np.abs(wide).max(axis=1, keepdims=True)
-    wide /= scale
-    return wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
+    wide /= np.abs(raw).max(axis=1)[:, None]
+    wide /= np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
+    return wide
 
 
 def usable_vectors(df: DataFrame, key: str, embedding: str) -> tuple[DataFrame, int]:
@@ -121,16 +125,14 @@ def usable_vectors(df: DataFrame, key: str, embedding: str) -> tuple[DataFrame,
     return rows.mapInArrow(pack, "id bigint, vec binary"), dim
 
 
-def _best(keys, ids, scores, k):
-    """The k best (score, then smaller id) different ids of each key."""
+def _best(keys, ids, scores, k, digits):
+    """The k best (score to so many digits, then smaller id) different ids of each key."""
     import numpy as np
 
-    order = np.lexsort((ids, keys))
-    keys, ids, scores = keys[order], ids[order], scores[order]
-    first = np.ones(len(keys), dtype=bool)
-    first[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids, scores = keys[first], ids[first], scores[first]
-    order = np.lexsort((ids, -scores, keys))
+    _, place = np.unique(ids, return_inverse=True)
+    _, first = np.unique(keys * (len(ids) + 1) + place, return_index=True)
+    keys, ids, scores = keys[first], ids[first], scores[first]  # by key and id
+    order = np.lexsort((-np.round(scores, digits), keys))
     keys, ids, scores = keys[order], ids[order], scores[order]
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, dtype=np.int64)
     rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
@@ -145,8 +147,8 @@ def compare_cell(buckets, queries, ids, raw, k: int):
     """
     import numpy as np
 
-    kept = k + 4  # the query itself, and room for the rounding of the first ranking
-    unit = _unit(raw).astype(np.float32)
+    kept = k + 3  # the query itself, and room for the rounding of the first ranking
+    unit = np.concatenate([_unit(raw[i : i + 16_384]).astype(np.float32) for i in range(0, len(raw), 16_384)])
     asks, holds = np.flatnonzero(queries), np.flatnonzero(~queries)
     if not len(asks) or not len(holds):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
@@ -160,7 +162,9 @@ def compare_cell(buckets, queries, ids, raw, k: int):
 
     def settle():
         nonlocal found, pending
-        found, pending = [_best(*(np.concatenate(x) for x in zip(*found)), kept)], 0
+        rows, hits, scores = (np.concatenate(x) for x in zip(*found))
+        still = scores >= least[rows] - _NOISE
+        found, pending = [_best(rows[still], hits[still], scores[still], kept, 6)], 0
 
     asks, row_of = asks[order := np.argsort(buckets[asks], kind="stable")], row_of[order]
     holds = holds[np.argsort(buckets[holds], kind="stable")]
@@ -178,7 +182,7 @@ def compare_cell(buckets, queries, ids, raw, k: int):
             fresh = np.flatnonzero(least[rows] < -1)  # asks for the first time
             if len(fresh) and len(inside) > kept:
                 least[rows[fresh]] = np.partition(score[fresh], len(inside) - kept, axis=1)[:, len(inside) - kept]
-            r, c = np.nonzero(score >= least[rows][:, None])
+            r, c = np.nonzero(score >= (least[rows] - _NOISE)[:, None])
             if not len(r):
                 continue
             value = score[r, c]
@@ -207,7 +211,7 @@ def compare_cell(buckets, queries, ids, raw, k: int):
     for i in range(0, len(rows), 65_536):
         part = slice(i, i + 65_536)
         exact[part] = np.einsum("ij,ij->i", _unit(raw[at_query[part]]), _unit(raw[at_hit[part]]))
-    rows, hits, exact = _best(rows, hits, exact, k)
+    rows, hits, exact = _best(rows, hits, exact, k, 14)
     return names[rows], hits, exact
 
 
@@ -228,7 +232,7 @@ def most_similar(df: DataFrame, key: str, embedding: str = "embedding", k: int =
     vectors = cut(vectors)
     n = vectors.count()
     directions = DIRECTIONS + max(0, math.ceil(math.log(max(1, n) / SPARSE, 4)))
-    cells = max(1, -(-TABLES * n // BLOCK_VECTORS))
+    cells = max(1, -(-TABLES * n // CELL_VECTORS))
 
     def place(batches: Iterator, full: bool) -> Iterator:
         import numpy as np
