@@ -87,7 +87,7 @@ def _solve(rows: DataFrame, limit: int, level: int) -> DataFrame:
     exits = local.where(F.col("state") == _OPEN).select("hierarchy", F.col("exit").alias("node")).distinct()
     quotient = cut(local.where(F.col("state") == _OPEN).join(exits, ["hierarchy", "node"], "left_semi"))
     if quotient.isEmpty():
-        return local
+        return cut(_below_settled(local, local))
     upper = _solve(quotient.drop("state"), limit, level + 1)
     above = upper.select("hierarchy", F.col("node").alias("exit"), F.col("exit").alias("top"), F.col("steps").alias("more"), F.col("way").alias("up"), F.col("state").alias("kind"))
     inner = local.join(upper.select("hierarchy", "node"), ["hierarchy", "node"], "left_anti").join(above, ["hierarchy", "exit"], "left")
@@ -102,11 +102,27 @@ def _solve(rows: DataFrame, limit: int, level: int) -> DataFrame:
     )
     # what was contracted between two nodes of a cycle is on the cycle, too
     hidden = upper.where(F.col("state") == _CYCLE).select("hierarchy", "node").join(quotient, ["hierarchy", "node"])
-    hidden = hidden.select("hierarchy", F.explode(F.split("way", "/")).cast("long").alias("node"), F.lit(True).alias("ring")).distinct()
+    hidden = hidden.select("hierarchy", F.explode(F.transform(F.split("way", "/"), lambda x: x.cast("long"))).alias("node"), F.lit(True).alias("ring")).distinct()
     both = inner.unionByName(upper).join(hidden, ["hierarchy", "node"], "left")
     ring = F.col("ring").isNotNull()
     state = F.when(ring, F.lit(_CYCLE)).otherwise(F.col("state"))
-    return cut(both.select("hierarchy", "node", "exit", "steps", F.when(ring, F.col("node").cast("string")).otherwise(F.col("way")).alias("way"), state.alias("state")))
+    both = both.select("hierarchy", "node", "exit", "steps", F.when(ring, F.col("node").cast("string")).otherwise(F.col("way")).alias("way"), state.alias("state"))
+    return cut(_below_settled(both, local))
+
+
+def _below_settled(rows: DataFrame, local: DataFrame) -> DataFrame:
+    """``rows`` whose exit lies on or below a cycle within one fragment: below it, too."""
+    settled = local.where(F.col("state") != _OPEN).select("hierarchy", F.col("node").alias("exit"), F.col("exit").alias("top"), F.col("way").alias("up"))
+    joined = rows.join(settled, ["hierarchy", "exit"], "left")
+    hit = (F.col("state") == _OPEN) & F.col("top").isNotNull()
+    return joined.select(
+        "hierarchy",
+        "node",
+        F.when(hit, F.col("top")).otherwise(F.col("exit")).alias("exit"),
+        "steps",
+        F.when(hit, F.concat_ws("/", "up", "way")).otherwise(F.col("way")).alias("way"),
+        F.when(hit, F.lit(_BELOW)).otherwise(F.col("state")).alias("state"),
+    )
 
 
 def full_hierarchies(links: DataFrame, limit: int = FRAGMENT_NODES) -> DataFrame:
