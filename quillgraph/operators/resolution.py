@@ -1,9 +1,10 @@
 """Entity resolution in tiers: candidate pairs (keep_id, drop_id) of each rule.
 
-Candidates come from equality joins on keys; where names need only share a
-token, each name is looked up by its few rarest tokens, which loses no pair that
-the rule allows and keeps frequent tokens out of the joins. Ties go to the
-entity with more mentions, then the smaller id.
+Candidates come from equality joins on keys. Where most of a name's tokens must
+be shared (:func:`subset`, :func:`fuzzy`), each name is looked up by its few
+rarest tokens, which keeps frequent ones out of the joins; where any one token
+is enough (:func:`by_embedding`), by all of them, the frequent ones in blocks.
+Ties go to the entity with more mentions, then the smaller id.
 """
 
 from __future__ import annotations
@@ -22,6 +23,14 @@ CONTRADICTIONS = [
     ("sibling_of", "parent_of"), ("sibling_of", "child_of"), ("half_sibling_of", "parent_of"), ("half_sibling_of", "child_of"),
 ]
 
+# Tokens that make no candidates for the comparison of embeddings.
+EMBEDDING_STOP = [
+    "the", "and", "of", "in", "a", "an", "for", "at", "by", "to", "dr", "mr", "mrs", "ms", "prof", "sir", "north", "south", "east", "west",
+    "new", "old", "cape", "great", "lower", "upper", "central", "union", "street", "road", "avenue", "lane", "school", "institute", "college",
+    "university", "club", "party", "movement", "committee", "association", "council", "congress", "league", "society", "church", "hall",
+    "high", "primary", "secondary", "its", "was", "his", "her",
+]
+
 _WORDS = F.split
 
 
@@ -203,15 +212,48 @@ def jaro_winkler_column(a, b):
     return pd.Series([jaro_winkler(x, y) for x, y in zip(a, b)], dtype=float)
 
 
-def by_embedding(entities: DataFrame, threshold: float = 0.9, least_spelling: float = 0.6) -> DataFrame:
-    """Pairs of one type that share a rare token, are spelt alike and whose
-    embeddings agree. Different titles (Mr, Mrs), different first tokens before
-    one surname and diverging descriptions cap the cosine at 0.96 and 0.94."""
+def near_embeddings(rows: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """``(a_entity_id, b_entity_id)``: all pairs of one type that share one of their
+    ``tokens`` and whose embeddings have a cosine of at least ``threshold`` (above
+    0), up to rounding. The entities of a token are split into blocks of about
+    ``block``, and each two blocks are compared by one matrix product."""
+    words = rows.where("NOT exists(embedding, x -> x IS NULL)").select("entity_id", "entity_type", F.size("embedding").alias("size"), "embedding", F.explode("tokens").alias("token"))
+    key = ["entity_type", "size", "token"]
+    counts = words.groupBy(*key).agg(F.count("*").alias("df")).where("df > 1").withColumn("blocks", F.ceil(F.col("df") / block).cast("int")).drop("df")
+    placed = words.join(counts, key).withColumn("at", F.pmod(F.xxhash64("entity_id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(*key, F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "entity_id", "embedding")
+
+    def compare(group, pdf):
+        import numpy as np
+        import pandas as pd
+
+        values = np.stack(pdf["embedding"].to_numpy()).astype(float)
+        norm = np.linalg.norm(values, axis=1)
+        known = norm > 0
+        unit, ids, at = values[known] / norm[known, None], pdf["entity_id"].to_numpy()[known], pdf["at"].to_numpy()[known]
+        left, right = at == group[3], at == group[4]
+        a, b = np.nonzero(unit[left] @ unit[right].T >= threshold - 1e-9)
+        a, b = ids[left][a], ids[right][b]
+        found = pd.DataFrame({"a_entity_id": np.minimum(a, b), "b_entity_id": np.maximum(a, b)})
+        return found[found["a_entity_id"] < found["b_entity_id"]].drop_duplicates()
+
+    return placed.groupBy(*key, "i", "j").applyInPandas(compare, "a_entity_id bigint, b_entity_id bigint").distinct()
+
+
+def by_embedding(entities: DataFrame, threshold: float = 0.9, least_spelling: float = 0.6, block: int = 1024) -> DataFrame:
+    """Pairs of one type that share a token of at least 3 letters outside the stop
+    list, are spelt alike and whose embeddings agree. Different titles (Mr, Mrs),
+    different first tokens before one surname and diverging descriptions cap the
+    cosine at 0.96 and 0.94."""
     from quillgraph.functions.scalar import cosine
 
     rows = named(entities).where(~has_disambiguation_token(F.col("name"))).join(entities.select("entity_id", "embedding", F.coalesce("description", F.lit("")).alias("description")), "entity_id").where("embedding IS NOT NULL")
-    rows = rows.join(rarest_tokens(rows, 2, 3), "entity_id")
-    pairs = _pairs(rows, ["token", "entity_type"]).where("a_entity_id < b_entity_id").withColumn("spelling", jaro_winkler_column("a_norm", "b_norm")).where(F.col("spelling") >= least_spelling)
+    tokens = F.filter(F.array_distinct("words"), lambda w: (F.length(w) >= 3) & ~w.isin(EMBEDDING_STOP))
+    pairs = near_embeddings(rows.select("entity_id", "entity_type", "embedding", tokens.alias("tokens")), threshold, block)
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns)), f"{side}_entity_id")
+    pairs = pairs.withColumn("spelling", jaro_winkler_column("a_norm", "b_norm")).where(F.col("spelling") >= least_spelling)
     titles = F.array_contains("a_words", "mr") & F.array_contains("b_words", "mrs") | F.array_contains("a_words", "mrs") & F.array_contains("b_words", "mr")
     firsts = (F.element_at("a_words", -1) == F.element_at("b_words", -1)) & (F.element_at("a_words", 1) != F.element_at("b_words", 1)) & (F.length(F.element_at("a_words", 1)) > 1) & (F.length(F.element_at("b_words", 1)) > 1)
     wa, wb = significant_words(F.col("a_description")), significant_words(F.col("b_description"))
