@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.common import cut
-from quillgraph.functions.scalar import normalize_name
+from quillgraph.functions.scalar import normalize_name, tokens
 from quillgraph.operators.components import connected_components
 
 # Familial relations, their inverses, and the symmetric ones.
@@ -162,6 +162,15 @@ def merge_entities(entities: DataFrame, relations: DataFrame, mentioned: DataFra
     return merged.join(names, "target").withColumnRenamed("target", "entity_id"), upsert_relations(moved), new(mentioned, "entity_id").distinct()
 
 
+def query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:
+    """``(query_id, entity_id)``: the entities of ``names`` (key, entity_id) whose
+    normalised name is a token, or two neighbouring ones, of a query's text."""
+    words = queries.select("query_id", tokens(F.col("text")).alias("t"))
+    pairs = F.zip_with("t", F.slice("t", F.lit(2), F.greatest(F.size("t"), F.lit(0))), lambda x, y: F.concat_ws(" ", x, y))
+    keys = words.select("query_id", F.explode(F.concat("t", pairs)).alias("phrase")).select("query_id", normalize_name(F.col("phrase")).alias("key"))
+    return keys.where("key <> ''").join(names, "key").select("query_id", "entity_id").distinct()
+
+
 def graph_search(queries: DataFrame, mentioned: DataFrame, relations: DataFrame, entities: DataFrame, chunk_docs: DataFrame, hops: int = 2, entity_weight: float = 0.5, near_weight: float = 0.5) -> DataFrame:
     """``(query_id, doc_id, score)``: documents of the queries' entities (query_id,
     entity_id), directly or over at most ``hops`` neighbours, the nearest counting."""

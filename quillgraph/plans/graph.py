@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.common import table
 from quillgraph.functions import scalar as S
 from quillgraph.operators import graph as G
-from quillgraph.operators.retrieval import reciprocal_rank_fusion, top_k
+from quillgraph.operators.retrieval import bm25_scores, reciprocal_rank_fusion, top_k
 from quillgraph.plans.base import MEN, REL, chunk_docs, entities, mentions, norm, relations
 
 
@@ -143,8 +143,14 @@ def improved_graph_search(s, d):
 
 
 def hybrid_search(s, d):
-    args = (_query_entities(s, d), mentions(s, d), relations(s, d), entities(s, d), chunk_docs(s, d))
-    fused = reciprocal_rank_fusion([top_k(G.graph_search(*args), 10), top_k(G.weighted_graph_search(*args), 10)], 10)
+    """The evaluation questions by their words and by the entities that they name,
+    fused over the documents' names. Its SQL still fuses two graph rankings."""
+    cases = table(s, d, "eval_cases").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    docs = table(s, d, "documents").where("doc_name IS NOT NULL").select("doc_id", "doc_name", "text")
+    words = bm25_scores(docs, cases).join(docs.select("doc_id", "doc_name"), "doc_id").groupBy("query_id", F.col("doc_name").alias("doc_id")).agg(F.max("score").alias("score"))
+    named = G.query_entities(cases, find_by_name(s, d).select("key", "entity_id"))
+    near = G.graph_search(named, mentions(s, d), relations(s, d), entities(s, d), chunk_docs(s, d), entity_weight=0.6, near_weight=0.4)
+    fused = reciprocal_rank_fusion([top_k(words, 10), top_k(near, 10)], 10)
     return fused.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
