@@ -79,8 +79,10 @@ def doc_prefix(s, d):
 
 
 def pattern_ner(s, d):
-    rows = table(s, d, "eval_cases").select(F.col("item_id").alias("doc_id"), F.concat(F.lit("Dr. "), F.initcap("answer"), F.lit(" met Professor Ada Byron. "), F.initcap("topic"), F.lit(" Research Institute and John Smith is a chemist.")).alias("text"))
-    return X.pattern_entities(rows)
+    """The names in whole documents and in chunks, whose ids are their own."""
+    sources = {"documents": _docs(s, d), "chunks": chunks(s, d).select(F.col("chunk_id").alias("doc_id"), "text")}
+    found = [X.pattern_entities(rows).select(F.lit(name).alias("source"), "doc_id", "name", "entity_type", "confidence") for name, rows in sources.items()]
+    return found[0].unionByName(found[1])
 
 
 def capitalised_ner(s, d):
