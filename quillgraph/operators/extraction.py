@@ -196,8 +196,9 @@ def describe(docs: DataFrame, candidates: DataFrame, kind: str = "Person") -> Da
     equal alias, of places and groups by the description's word in name or alias."""
     pairs = KINSHIP if kind == "Person" else [(f"the {w}", w) for w in (PLACES if kind == "Location" else GROUPS)]
     surfaces = F.array(*(F.struct(F.lit(s).alias("surface"), F.lit(w).alias("word"), F.lit(i).alias("ord")) for i, (s, w) in enumerate(pairs)))
-    rows = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("low"), F.explode(surfaces).alias("s"))
-    rows = rows.select("doc_id", "s.surface", "s.word", (F.expr("instr(low, s.surface)") - 1).alias("offset")).where("offset >= 0")
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("low"))
+    rows = rows.select("doc_id", "low", F.filter(surfaces, lambda x: F.contains(F.col("low"), x["surface"])).alias("hits")).where("size(hits) > 0")
+    rows = rows.select("doc_id", "low", F.explode("hits").alias("s")).select("doc_id", "s.surface", "s.word", (F.expr("instr(low, s.surface)") - 1).alias("offset")).where("offset >= 0")
     listed = F.coalesce("aliases", F.array().cast("array<string>"))
     if kind == "Person":
         words = candidates.select("doc_id", "name", F.explode(F.transform(listed, lambda a: F.lower(a))).alias("word"))

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.common import table
 from quillgraph.functions import scalar as S
 from quillgraph.operators import extraction as X
 from quillgraph.operators import text as T
-from quillgraph.plans.base import CHUNK, chunks, entities
+from quillgraph.plans.base import CHUNK, chunk_docs, chunks, entities, mentions
 from quillgraph.sources import stores
 from quillgraph.streaming.ingest import replay
 
@@ -97,11 +99,20 @@ def relation_regex(s, d):
 
 
 def definite_descriptions(s, d):
-    docs = _docs(s, d)
-    c = entities(s, d).where("entity_type = 'Organization'").select("name")
-    words = F.broadcast(s.createDataFrame([(w,) for w in X.GROUPS], "w string"))
-    one = words.crossJoin(c.agg(F.min("name").alias("name"))).select(F.concat_ws(" ", "name", "w").alias("name"))
-    return X.describe(docs, docs.select("doc_id").crossJoin(one).withColumn("aliases", F.lit(None).cast("array<string>")), "Organization")
+    """Of persons, places and groups, among the entities that a chunk, or any chunk
+    of a document's name, mentions. Its SQL still appends the groups' words to one name."""
+    seen = mentions(s, d).join(entities(s, d).where("name IS NOT NULL").select("entity_id", "name", "aliases", "entity_type"), "entity_id")
+    docs = chunk_docs(s, d).select("chunk_id", F.col("doc_id").alias("doc_name")).join(table(s, d, "documents").select("doc_name", "doc_id"), "doc_name")
+    sources = {
+        "documents": (_docs(s, d), seen.join(docs, "chunk_id").select("doc_id", "name", "aliases", "entity_type")),
+        "chunks": (chunks(s, d).select(F.col("chunk_id").alias("doc_id"), "text"), seen.select(F.col("chunk_id").alias("doc_id"), "name", "aliases", "entity_type")),
+    }
+    found = [
+        X.describe(rows, candidates.where(F.col("entity_type") == kind), kind).select(F.lit(name).alias("source"), "doc_id", F.lit(kind).alias("entity_type"), "surface", "offset", "entity_name")
+        for name, (rows, candidates) in sources.items()
+        for kind in ("Person", "Location", "Organization")
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def proper_nouns(s, d):
