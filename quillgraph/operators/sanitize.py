@@ -60,6 +60,14 @@ def drop_superseded_half_siblings(relations: DataFrame) -> DataFrame:
     return relations.where(~half).unionByName(relations.where(half).join(both, ["src_id", "dst_id"], "left_anti").select(relations.columns))
 
 
+def children_turned(relations: DataFrame) -> DataFrame:
+    """With every child_of as the parent_of of the other direction, its evidence
+    joined with that of a parent_of that is there already."""
+    child = F.col("relation_type") == "child_of"
+    ends = (F.when(child, F.col(x)).otherwise(F.col(y)).alias(y) for x, y in (("dst_id", "src_id"), ("src_id", "dst_id")))
+    return upsert_relations(relations.select(*ends, F.when(child, "parent_of").otherwise(F.col("relation_type")).alias("relation_type"), "evidence"))
+
+
 def drop_parent_paradoxes(relations: DataFrame) -> DataFrame:
     """Of parents of each other the stronger statement stays, of equal ones neither."""
     parents = relations.where("relation_type = 'parent_of'")

@@ -114,14 +114,13 @@ def sanitize_spouse(s, d):
 
 
 def sanitize_half_sibling(s, d):
-    half = relations(s, d).where("relation_type IN ('sibling_of', 'cousin_of')").withColumn("relation_type", F.when(F.col("relation_type") == "cousin_of", "half_sibling_of").otherwise(F.col("relation_type")))
-    return Z.drop_superseded_half_siblings(half).select("src_id", "dst_id", "relation_type")
+    """Over all relations. Its SQL still takes cousins for half siblings."""
+    return Z.drop_superseded_half_siblings(relations(s, d)).select("src_id", "dst_id", "relation_type")
 
 
 def sanitize_parent_paradox(s, d):
-    r = relations(s, d)
-    both = r.where("relation_type IN ('parent_of', 'child_of')").withColumn("relation_type", F.lit("parent_of"))
-    return Z.drop_parent_paradoxes(both.dropDuplicates(["src_id", "dst_id"]).select("src_id", "dst_id", "relation_type", F.lit(1.0).alias("strength"))).select("src_id", "dst_id")
+    """Over all relations, children turned to parents. Its SQL still knows no strengths."""
+    return Z.drop_parent_paradoxes(Z.children_turned(relations(s, d))).select("src_id", "dst_id", "relation_type")
 
 
 def sanitize_type_mismatch(s, d):
