@@ -114,13 +114,14 @@ def _core(word: str) -> str:
     return re.sub(r"^[\W_]+|[\W_]+$", "", word)
 
 
-def proper_nouns(text: str, most: int = 40, longest: int = 5) -> list[str]:
-    """Capitalised runs of at most ``longest`` words, first seen first, none twice."""
+def proper_nouns(text: str, most: int | None = None, longest: int = 5) -> list[str]:
+    """Capitalised runs of at most ``longest`` words, first seen first, none twice;
+    at most ``most``, which is for short pieces of a text, not for whole ones."""
     names: dict[str, None] = {}
     run: list[str] = []
 
     def close() -> None:
-        if run and len(names) < most:
+        if run and (most is None or len(names) < most):
             names.setdefault(" ".join(run))
         run.clear()
 
@@ -157,7 +158,8 @@ def resolve_pronouns(text: str, people: list[tuple[str, str | None]], candidates
             continue
         name = fitting[-1] if fitting else None
         if name is None:
-            places = [(max((i for i, c in enumerate(cores[:at]) if c and c in n.split()), default=-1), n) for n in candidates]
+            last = {c: i for i, c in enumerate(cores[:at])}
+            places = [(max((last.get(w, -1) for w in n.split()), default=-1), n) for n in candidates]
             best = max((p for p, _ in places), default=-1)
             name = next((n for p, n in places if p == best), None) if best >= 0 else None
         if name is None:
