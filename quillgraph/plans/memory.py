@@ -56,7 +56,7 @@ def dormant_prune(s, d):
 
 
 def consolidation_cycles(s, d):
-    history = M.run_cycles(entities(s, d), relations(s, d), mentions(s, d), _times(s, d), _now(), 5)
+    history = M.run_cycles(entities(s, d), relations(s, d), mentions(s, d), _times(s, d), _now())
     return s.createDataFrame([(h["cycle"], h["entities_before"], h["entities_after"], h["relations_after"], h["merged"], h["converged"]) for h in history], "cycle int, entities_before long, entities_after long, relations_after long, merged long, converged boolean")
 
 
