@@ -21,8 +21,10 @@ def test_neighbours_recall_ties_and_unusable_rows(spark, monkeypatch):
     score = unit @ unit.T
     np.fill_diagonal(score, -9)
     want = {int(i): ids[np.lexsort((ids, -np.round(score[k], 9)))[:5]].tolist() for k, i in enumerate(ids)}
-    for block in (8192, 16):  # the second splits every bucket
-        monkeypatch.setattr(neighbours, "BLOCK_VECTORS", block)
+    for cell, alone in ((65_536, 4096), (16, 4096), (65_536, 3)):  # many cells and split ones; coarser buckets for the lonely
+        monkeypatch.setattr(neighbours, "CELL_VECTORS", cell)
+        monkeypatch.setattr(neighbours, "LONELY", alone)
+        monkeypatch.setattr(neighbours, "SHALLOW", 0.8 if alone > 3 else -8)
         found: dict = {}
         for r in neighbours.most_similar(df, "key").collect():
             found.setdefault(r.item_id, []).append(r.neighbour_id)
@@ -30,11 +32,22 @@ def test_neighbours_recall_ties_and_unusable_rows(spark, monkeypatch):
         hits = sum(len({*found[i]} & {*want[i]}) for i in want)
         assert hits / (5 * len(want)) >= 0.93
         assert sorted(found[1003]) == [0, 1000, 1001, 1002, 1004]
+    # a vector that most keys have is compared once
+    same = spark.createDataFrame([(i, [1.0, 2.0, 0.5]) for i in range(3000)] + [(5000 + i, [1.0, 2.0, 0.5 + i]) for i in range(1, 20)], "key long, embedding array<float>")
+    visits = spark.sparkContext.accumulator(0)
+    got = neighbours.most_similar(same, "key", visits=visits).collect()
+    assert len(got) == 5 * 3019 and visits.value <= 8 * 20 * 20 and {r.neighbour_id for r in got if r.item_id < 3000} == {*range(6)}
     few = neighbours.most_similar(df.where("key < 3"), "key")
     assert few.count() == 6
     assert neighbours.most_similar(df.limit(0), "key").count() == 0
 
 
+def test_perturbation_sets():
+    sets = neighbours.perturbation_sets(6, 60)
+    assert sets[0] == () and sets[1] == (0,) and len({*sets}) == len(sets) == 60
+    assert not any(11 - p in s for s in sets for p in s)
+
+
 def test_near_duplicates_against_brute_force(spark):
     rng = random.Random(8)
     vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}" for i in range(900)]
