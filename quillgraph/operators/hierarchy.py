@@ -1,10 +1,11 @@
 """Full hierarchies from parent-child links (problem 3).
 
-Nodes are spread over partitions of bounded size. In each partition every chain
-of parents is contracted to its exit, the first ancestor that lies elsewhere.
-The exits alone form a smaller quotient forest, which is solved the same way,
-until it fits in one partition; then each level's fragments are expanded by one
-join with the level above. A cycle shows up as soon as its contracted form lies
+Nodes are spread over partitions, none of which gets more than its even share. In
+each partition every chain
+of parents is contracted to its exit, the first ancestor that lies elsewhere. The
+exits alone form a smaller quotient forest, which is solved the same way, until it
+is no larger than one share; then each level's fragments are expanded by one join
+with the level above. A cycle shows up as soon as its contracted form lies
 within one partition.
 """
 
@@ -13,10 +14,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.common import cut
+from quillgraph.common import cut, tasks
 
-#: Nodes of one partition at most; with their paths they fill some 100 MB.
-FRAGMENT_NODES = 200_000
+#: Nodes of one partition: an even share of all of them, but at least so many
+#: (below, a further level costs more than it spreads) and at most so many (with
+#: their paths they fill some 100 MB).
+LEAST_NODES, FRAGMENT_NODES = 500, 200_000
 
 _OPEN, _CYCLE, _BELOW = 0, 1, 2
 _SOLVED = "hierarchy string, node bigint, exit bigint, steps int, way string, state int"
@@ -78,9 +81,10 @@ def _fragments(rows: DataFrame, n: int, limit: int, level: int) -> DataFrame:
     return rows.withColumn("fragment", F.pmod(F.xxhash64("hierarchy", anchor), F.lit(2 * parts)).cast("int")).drop("crowded")
 
 
-def _solve(rows: DataFrame, limit: int, level: int) -> DataFrame:
+def _solve(rows: DataFrame, limit: int, level: int, sizes: list[int]) -> DataFrame:
     """Rows of pointers (node to exit) solved up to the roots or cycles."""
     n = rows.count()
+    sizes.append(n)
     local = cut(_fragments(rows, n, limit, level).groupBy("fragment").applyInPandas(lambda pdf: _contract(pdf), _SOLVED))
     if n <= limit:
         return local
@@ -88,7 +92,7 @@ def _solve(rows: DataFrame, limit: int, level: int) -> DataFrame:
     quotient = cut(local.where(F.col("state") == _OPEN).join(exits, ["hierarchy", "node"], "left_semi"))
     if quotient.isEmpty():
         return cut(_below_settled(local, local))
-    upper = _solve(quotient.drop("state"), limit, level + 1)
+    upper = _solve(quotient.drop("state"), limit, level + 1, sizes)
     above = upper.select("hierarchy", F.col("node").alias("exit"), F.col("exit").alias("top"), F.col("steps").alias("more"), F.col("way").alias("up"), F.col("state").alias("kind"))
     inner = local.join(upper.select("hierarchy", "node"), ["hierarchy", "node"], "left_anti").join(above, ["hierarchy", "exit"], "left")
     grown = (F.col("state") == _OPEN) & F.col("top").isNotNull()
@@ -125,7 +129,7 @@ def _below_settled(rows: DataFrame, local: DataFrame) -> DataFrame:
     )
 
 
-def full_hierarchies(links: DataFrame, limit: int = FRAGMENT_NODES) -> DataFrame:
+def full_hierarchies(links: DataFrame, limit: int | None = None, sizes: list[int] | None = None) -> DataFrame:
     """``(hierarchy, node_id, root_id, depth, path, state, n_descendants)``.
 
     ``links`` has ``hierarchy``, ``child`` and ``parent``; repeated links count
@@ -135,12 +139,16 @@ def full_hierarchies(links: DataFrame, limit: int = FRAGMENT_NODES) -> DataFrame
     a link to itself); ``below_cycle``: otherwise. Outside trees root_id and
     depth are -1 and the path is empty. Descendants are counted from the paths,
     which are part of the result, with partial sums before the shuffle, so a
-    root above a third of all nodes is no hot group.
+    root above a third of all nodes is no hot group. ``limit`` is the number of
+    nodes of one partition (see :data:`LEAST_NODES`); ``sizes``, a list, gets the
+    number of nodes of each level of the recursion.
     """
     links = links.select("hierarchy", F.col("child").cast("long").alias("child"), F.col("parent").cast("long").alias("parent")).dropna()
     pointers = cut(links.groupBy("hierarchy", F.col("child").alias("node")).agg(F.min("parent").alias("exit")))
     rows = pointers.select("hierarchy", "node", "exit", F.lit(1).alias("steps"), F.col("node").cast("string").alias("way"))
-    solved = _solve(rows, limit, 0)
+    if limit is None:
+        limit = min(FRAGMENT_NODES, max(LEAST_NODES, -(-pointers.count() // tasks(links.sparkSession))))
+    solved = _solve(rows, limit, 0, [] if sizes is None else sizes)
     roots = pointers.select("hierarchy", F.col("exit").alias("node")).distinct().join(pointers, ["hierarchy", "node"], "left_anti")
     roots = roots.select("hierarchy", "node", F.col("node").alias("exit"), F.lit(0).alias("steps"), F.lit("").alias("way"), F.lit(_OPEN).alias("state"))
     nodes = solved.unionByName(roots)

@@ -44,3 +44,19 @@ def test_empty_and_extra_columns(spark):
     assert full_hierarchies(df).count() == 0
     df = spark.createDataFrame([("x", 2, 1, 5, 6, "w")], df.schema)
     assert sorted(r.path for r in full_hierarchies(df).collect()) == ["1", "1/2"]
+
+
+def test_contracts_and_recurses_on_test_data(spark):
+    import os
+
+    from quillgraph.common import table
+    from quillgraph.plans.problems import hierarchical_links
+
+    data = "/root/testdata/sf0.1"
+    if not os.path.exists(data):
+        pytest.skip("no test data")
+    links = hierarchical_links(table(spark, data, "relations"))
+    sizes: list[int] = []
+    got = sorted(tuple(r) for r in full_hierarchies(links, sizes=sizes).collect())
+    assert len(sizes) >= 2 and sizes == sorted(sizes, reverse=True) and sizes[-1] <= 0.5 * sizes[0]
+    assert got == brute([tuple(r) for r in links.collect()])
