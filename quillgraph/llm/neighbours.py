@@ -208,7 +208,8 @@ class _Best:
         """(row, hit) of the best, each pair of them once."""
         np = self.np
         self.settle()
-        pair = np.unique((self.packed >> np.uint64(_ROW + _FAR)) << np.uint64(_ROW) | self.packed & np.uint64((1 << _ROW) - 1))
+        pair = np.sort((self.packed >> np.uint64(_ROW + _FAR)) << np.uint64(_ROW) | self.packed & np.uint64((1 << _ROW) - 1))
+        pair = pair[np.append(True, pair[1:] != pair[:-1])] if len(pair) else pair
         return (pair >> np.uint64(_ROW)).astype(np.int64), (pair & np.uint64((1 << _ROW) - 1)).astype(np.int64)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.common import table
 from quillgraph.llm.boilerplate import repeated_line_places
-from quillgraph.llm.leakage import leaked_items
+from quillgraph.llm.leakage import leak_report, leaked_items
 from quillgraph.llm.lookalike import LIGATURES, same_looking_pairs, single_characters
 from quillgraph.llm.names import same_entity_pairs
 from quillgraph.llm.near_duplicates import near_duplicate_pairs
@@ -52,12 +52,17 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item that leaked the documents with its question, its passage, and its answer as well."""
+    return leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents with different text that reads the same."""
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 
 
 

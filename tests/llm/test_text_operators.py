@@ -88,10 +88,24 @@ def test_leaks_against_brute_force(spark):
     tests = spark.createDataFrame([(*r, "k") for r in items], "item_id int, question string, passage string, key string")
     got = leakage.leaked_items(docs, tests)
     assert len(want) > 30 and sorted((r.doc_id, r.item_id) for r in got.collect()) == sorted(want)
-    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, tests, max_texts=50).collect()} == want
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(docs, tests, max_words=1500).collect()} == want
     assert leakage.leaked_items(docs, tests.limit(0)).count() == 0 and leakage.leaked_items(docs.limit(0), tests).count() == 0
 
 
+def test_many_items_need_one_pass_and_answers_are_checked(spark):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=20)), None, f"answer {i}") for i in range(5000)]
+    docs = [(d, " ".join([*rng.choices(vocabulary, k=30), items[7 * d][1], "the ANSWER", str(7 * d + d % 2), "x"])) for d in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = leakage.leaks(df, spark.createDataFrame(items, "item_id long, question string, passage string, answer string"))
+    assert found._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [(d, 7 * d, "question", d % 2 == 0) for d in range(60)]
+    report = {r.item_id: tuple(r)[1:] for r in leakage.leak_report(df, spark.createDataFrame(items, "item_id long, question string, passage string, answer string")).collect()}
+    assert report[14] == (1, 1, 0, 1) and report[7] == (1, 1, 0, 0) and len(report) == 60
+
+
 @pytest.mark.parametrize("text", ["", "ﬁle", "е́"])
 def test_canonical_form_is_stable(text):
     assert lookalike.canonical(lookalike.canonical(text)) == lookalike.canonical(text)
