@@ -12,7 +12,7 @@ from quillgraph.llm.lookalike import LIGATURES, same_looking_pairs, single_chara
 from quillgraph.llm.names import same_entity_pairs
 from quillgraph.llm.near_duplicates import near_duplicate_pairs
 from quillgraph.llm.neighbours import most_similar
-from quillgraph.llm.scans import scan_faults
+from quillgraph.llm.scans import repaired_text, scan_faults
 from quillgraph.llm.tokens import encode_corpus
 
 
@@ -32,6 +32,11 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_faults(table(spark, sf_dir, "chunks"))
 
 
+def p5_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scanned papers as continuous paragraphs."""
+    return repaired_text(table(spark, sf_dir, "chunks"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of persons or of organisations that mean the same one."""
     return same_entity_pairs(table(spark, sf_dir, "entities"))
@@ -62,7 +67,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
 
 
 

@@ -3,10 +3,12 @@
 Words are grouped by the skeleton of their glyphs: letters are taken apart into
 strokes, so forms that a reader of scans confuses (``rn`` and ``m``, ``cl`` and
 ``d``, ``1`` and ``l``) have one skeleton. A form that is rare beside another of
-its group, one confusion away, is a misreading of it. Running headers are found
-by masking digits and comparing the first lines of a document's pages; words cut
-at the end of a line are joined with the next line of the body, on the next page
-if need be, with SQL windows.
+its group, one confusion away, is a misreading of it; where several forms may be
+meant, or the rare one is a word as well, the words to its left and right decide.
+Running headers are found by masking digits and comparing the first lines of a
+document's pages; words cut at the end of a line are joined with the next line of
+the body, on the next page if need be. :func:`repaired_text` reflows the pages into
+paragraphs.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.common import cut
@@ -38,15 +40,18 @@ DIGITS = {"l": "1", "I": "1", "i": "1", "|": "1", "o": "0", "O": "0", "b": "6",
 
 _TOKEN = re.compile(r"[({]?[^\W_]+(?:['’({-][^\W_]+)*")
 _CUT = re.compile(r"[^\W_]-[ \t\r]*$")
+_ANY_CUT = re.compile(r"-[ \t\r]*(?:\n|$)")
 _BROKEN = re.compile(r"\S*[^\W_]-[ \t\r]*(?:\n\s*\S*|$)")
 _NUMBER = r"(?:[0-9lIioOSsBbZzgq]{1,5}|[ivxlcdm]{1,8}|[IVXLCDM]{1,8})"
 _PAGE = re.compile(rf"\s*(?:[-–—]\s*{_NUMBER}\s*[-–—]|\[\s*{_NUMBER}\s*\]|\(\s*{_NUMBER}\s*\)|[Pp][.,]\s*{_NUMBER}|[Pp][ao0]g[ec]\s+{_NUMBER}|{_NUMBER})\s*")
 _BESIDE = re.compile(rf"^\s*(?:{_NUMBER}[ \t]{{2,}}(?P<a>\S.*?)|(?P<b>\S.*?)[ \t]{{2,}}{_NUMBER})\s*$")
-_CITED = re.compile(r"(?:\(see |\[|Cf\. |So )([^\W\d_]{4,})")
 
 #: A misread form is at most one in so many of the right form, and one in fewer
 #: if it never stands in clean text.
 RARE, RARE_UNSEEN = 20, 2
+#: A form that is a word as well is misread where its neighbours stand so often
+#: beside the right form, and never elsewhere beside it.
+CONTEXT = 3
 #: Misread forms that may be broadcast after they were counted; of more, all words are joined.
 BROADCAST_FORMS = 500_000
 #: Sites of scanned documents.
@@ -96,6 +101,11 @@ def _page_numbers(lines: list[str], filled: list[int]) -> set[int]:
     return {i for i in ends if len(lines[i]) < 60 and _PAGE.fullmatch(lines[i])}
 
 
+def _pieces(text: str) -> list[str]:
+    """A text without the words that line ends cut, parted at blanks; no token has one."""
+    return (_BROKEN.sub("\n", text) if _ANY_CUT.search(text) else text).split()
+
+
 def _counts(batches: Iterator) -> Iterator:
     """Words of whole lines, counted per task: (word, in scans, n)."""
     from collections import Counter
@@ -105,7 +115,7 @@ def _counts(batches: Iterator) -> Iterator:
     counts: list[Counter] = [Counter(), Counter()]
 
     def flush():
-        rows = [(w, bool(s), n) for s in (0, 1) for w, n in counts[s].items()]
+        rows = [(w, bool(s), n) for s in (0, 1) for piece, n in counts[s].items() for w in _TOKEN.findall(piece)]
         for c in counts:
             c.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], names=["word", "scanned", "n"])
@@ -113,19 +123,67 @@ def _counts(batches: Iterator) -> Iterator:
     for batch in batches:
         for text, scanned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if text:
-                counts[bool(scanned)].update(_TOKEN.findall(_BROKEN.sub("\n", text)))
+                counts[bool(scanned)].update(_pieces(text))
         if sum(map(len, counts)) > 200_000:
             yield flush()
     yield flush()
 
 
+def _contexts(batches: Iterator, watched: set[str] | None) -> Iterator:
+    """How often watched words (all, if not given) have a neighbour: (word, side, neighbour, n)."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    counts: Counter = Counter()
+    tokens: dict[str, list[str]] = {}
+    hot: dict[str, bool] = {}
+
+    def flush():
+        rows = [(w, side, x, n) for (w, side, x), n in counts.items()]
+        counts.clear()
+        columns = [*zip(*rows)] or [(), (), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["word", "side", "neighbour", "n"])
+
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            pieces = _pieces(text or "")
+            for piece in pieces:
+                if piece not in tokens:
+                    if len(tokens) > 300_000:
+                        tokens.clear()
+                        hot.clear()
+                    tokens[piece] = [t.lower() for t in _TOKEN.findall(piece)]
+                    hot[piece] = watched is None or any(t in watched for t in tokens[piece])
+            places = [i for i, piece in enumerate(pieces) if hot.get(piece, True)]
+            for i in places:
+                near = [t for piece in pieces[max(0, i - 1) : i + 2] for t in tokens.get(piece) or [t.lower() for t in _TOKEN.findall(piece)]]
+                own = tokens.get(pieces[i], ())
+                first = near.index(own[0]) if own and i == 0 else len(tokens.get(pieces[i - 1], ())) if i else 0
+                for k in range(first, first + len(own)):
+                    if watched is None or near[k] in watched:
+                        if k:
+                            counts[near[k], 0, near[k - 1]] += 1
+                        if k + 1 < len(near):
+                            counts[near[k], 1, near[k + 1]] += 1
+        if len(counts) > 200_000:
+            yield flush()
+    yield flush()
+
+
+def _names(title: str) -> list[str]:
+    """The capitalised words of a line that has several and begins with one, as skeletons."""
+    names = {skeleton(w.lower()) for w in _TOKEN.findall(title) if w[0].isupper() and len(w) > 3}
+    return sorted(names) if len(names) > 1 and title[0].isupper() else []
+
+
 def _heads(batches: Iterator) -> Iterator:
     """Per page that may have a header: the key of its first line, whether it is
-    sure to be one, its names; and the names that the page cites."""
+    sure to be one, and its names, the capitalised words."""
     import pyarrow as pa
 
-    names = ["chunk", "doc", "head", "sure", "bare", "names", "cited"]
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string())]
+    names = ["chunk", "doc", "head", "sure", "names"]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string())]
     for batch in batches:
         out = []
         for chunk, doc, text in zip(*(c.to_pylist() for c in batch.columns)):
@@ -137,10 +195,8 @@ def _heads(batches: Iterator) -> Iterator:
             letters = [c for c in title if c.isalpha()]
             bare = bool(letters) and not re.search(r"[.,;:?!()\[\]]", title) and not title.endswith("-")
             sure = bare and (bool(beside) and title[0].isupper() or sum(c.isupper() for c in letters) > 0.8 * len(letters) and len(letters) > 5)
-            named = [skeleton(w.lower()) for w in _TOKEN.findall(title) if w[0].isupper()] if bare else []
-            cited = {skeleton(w.lower()) for w in _CITED.findall(text)}
-            if bare or cited:
-                out.append((chunk, doc, header_key(line) if bare else None, sure, bare, named, [*cited]))
+            if bare:
+                out.append((chunk, doc, header_key(line), sure, _names(title)))
         columns = [*zip(*out)] or [[] for _ in names]
         yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
@@ -205,17 +261,58 @@ def _confused(batches: Iterator) -> Iterator:
         yield batch.take(pa.array(kept, pa.int64()))
 
 
-def right_forms(words: DataFrame, doubtful: DataFrame | None = None) -> DataFrame:
-    """``(word, right)`` of the misread among ``doubtful`` (all ``words`` if not
-    given; word, clean, n: how often in clean text and at all): the most frequent
-    form of the same skeleton that is one confusion away and much more frequent."""
+def candidate_forms(words: DataFrame, doubtful: DataFrame | None = None) -> DataFrame:
+    """``(word, right, support, sure)``: the forms that each doubtful word (all ``words``
+    if not given; word, clean, n: how often in clean text and at all) may be a
+    misreading of: of the same skeleton, one confusion away and more frequent.
+    ``sure``: so much more frequent that no context is needed."""
     boned = lambda df: df.mapInArrow(_with_skeleton, "word string, clean bigint, n bigint, bones string")
     good = boned(words.where((F.col("n") >= 2) & ~F.col("word").rlike("[0-9({]"))).select(F.col("word").alias("right"), F.col("n").alias("support"), "bones")
     pairs = boned(words if doubtful is None else doubtful).join(good, "bones").where(F.col("word") != F.col("right"))
     odd = F.col("word").rlike("[0-9({]")
-    rare = F.col("support") >= F.when(odd, 1).when(F.col("clean") == 0, RARE_UNSEEN * F.greatest("n", F.lit(1))).otherwise(RARE * F.col("n"))
-    pairs = pairs.where(rare).select("word", "right", "support").mapInArrow(_confused, "word string, right string, support bigint")
-    return pairs.groupBy("word").agg(F.max_by("right", F.struct("support", "right")).alias("right"))
+    least = F.when(odd, 1).otherwise(RARE_UNSEEN * F.greatest("n", F.lit(1)))
+    sure = odd | (F.col("clean") == 0) | (F.col("support") >= RARE * F.col("n"))
+    pairs = pairs.where(F.col("support") >= least).select("word", "right", "support", sure.alias("sure")).mapInArrow(_confused, _CANDIDATES)
+    return pairs
+
+
+_CANDIDATES = "word string, right string, support bigint, sure boolean"
+
+
+def right_forms(candidates: DataFrame) -> DataFrame:
+    """``(word, right)``: the most frequent sure candidate of each word."""
+    return candidates.where("sure").groupBy("word").agg(F.max_by("right", F.struct("support", "right")).alias("right"))
+
+
+def _in_context(words: DataFrame, candidates: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(chunk, line_no, word, right)`` of the occurrences (chunk, line_no, word,
+    before, after) that their neighbours decide: words with several sure candidates,
+    and words of clean text with one that is not sure.
+
+    The right form is the one that stands most often beside the neighbours; a word
+    of clean text is only given up where it never stands beside them elsewhere."""
+    several = candidates.groupBy("word").agg(F.count_if("sure").alias("n_sure"), F.count("*").alias("n_all")).where("n_sure <> 1 OR n_all > 1")
+    unclear = cut(candidates.join(several, "word"))
+    if unclear.isEmpty():
+        return words.select("chunk", "line_no", "word", F.lit("").alias("right")).limit(0)
+    watched = unclear.select("word").unionByName(unclear.select(F.col("right").alias("word"))).distinct()
+    known = None
+    if watched.count() <= BROADCAST_FORMS:
+        known = texts.sparkSession.sparkContext.broadcast({r.word for r in watched.toLocalIterator()})
+    beside = texts.select("text").mapInArrow(lambda b: _contexts(b, known and known.value), "word string, side int, neighbour string, n bigint")
+    beside = cut(beside.groupBy("word", "side", "neighbour").agg(F.sum("n").alias("n")))
+    places = words.join(unclear.select("word", "right", "support", "sure", "n_sure"), "word").select("chunk", "line_no", "word", F.lower("before").alias("before"), F.lower("after").alias("after"), "right", "support", "sure", "n_sure")
+    for form in ("word", "right"):
+        for side, near in enumerate(("before", "after")):
+            counts = beside.where(F.col("side") == side).select(F.col("word").alias(form), F.col("neighbour").alias(near), F.col("n").alias(f"{form}_{near}"))
+            places = places.join(counts, [form, near], "left")
+    beside_right = F.coalesce("right_before", F.lit(0)) + F.coalesce("right_after", F.lit(0))
+    # the occurrence itself stands beside its neighbours once
+    beside_word = F.greatest(F.coalesce("word_before", F.lit(0)) - 1, F.lit(0)) + F.greatest(F.coalesce("word_after", F.lit(0)) - 1, F.lit(0))
+    both = F.coalesce("right_before", F.lit(0)) * F.coalesce("right_after", F.lit(0)) > 0
+    fits = F.when(F.col("n_sure") == 0, both & (beside_right >= CONTEXT) & (beside_word == 0)).otherwise(F.col("sure"))
+    best = places.where(fits).groupBy("chunk", "line_no", "word", "before", "after").agg(F.max_by("right", F.struct(beside_right, "support", "right")).alias("right"))
+    return best.select("chunk", "line_no", "word", "right").distinct()
 
 
 def _number(token: Column) -> Column:
@@ -233,49 +330,64 @@ def scan_faults(df: DataFrame, chunk: str = "chunk_id", doc: str = "doc_name", p
     whole word cut at the end of the line), ``misread`` (the right lower-case
     word or number). Counts of words are taken over all texts, scanned or not.
     Nothing is gathered by document: headers are counted per document and line,
-    the next page is found by a window function. A row delivered again counts
+    the next page is found by an equality join. A row delivered again counts
     once; null texts and document names have no faults; a cut word whose next
     page is missing is not reported; an empty table gives an empty table; other
     columns are not read.
     """
+    rows = _rows(df, chunk, doc, page, text)
+    return _faults(rows, scanned).select(F.col("chunk").alias(chunk), "line_no", "kind", "fixed").distinct()
+
+
+def _rows(df: DataFrame, chunk: str, doc: str, page: str, text: str) -> DataFrame:
     rows = df.select(F.col(chunk).cast("long").alias("chunk"), F.col(doc).alias("doc"), F.col(page).cast("long").alias("page"), F.col(text).cast("string").alias("text"))
-    rows = rows.where(F.col("chunk").isNotNull() & F.col("doc").isNotNull() & F.col("text").isNotNull())
+    return rows.where(F.col("chunk").isNotNull() & F.col("doc").isNotNull() & F.col("text").isNotNull())
+
+
+def _faults(rows: DataFrame, scanned: str) -> DataFrame:
+    """``(chunk, line_no, kind, word, fixed)``; word is what a misread word looks like,
+    or the first part of a cut one."""
     is_scan = F.col("doc").rlike(scanned)
     pages = rows.where(is_scan)
 
     counted = rows.select("text", is_scan.alias("scanned")).mapInArrow(_counts, "word string, scanned boolean, n bigint")
     counted = counted.groupBy(F.lower("word").alias("word")).agg(F.sum(F.when(F.col("scanned"), 0).otherwise(F.col("n"))).alias("clean"), F.sum("n").alias("n"))
     counted = cut(counted)
-    repairs = cut(right_forms(counted))
+    candidates = cut(candidate_forms(counted))
+    repairs = cut(right_forms(candidates))
+    doubtful = candidates.select("word").distinct()
     wrong = None
-    if repairs.count() <= BROADCAST_FORMS:
-        wrong = df.sparkSession.sparkContext.broadcast({r.word for r in repairs.select("word").toLocalIterator()})
+    if doubtful.count() <= BROADCAST_FORMS:
+        wrong = rows.sparkSession.sparkContext.broadcast({r.word for r in doubtful.toLocalIterator()})
     places = pages.select("chunk", "doc", "page", "text").mapInArrow(lambda b: _places(b, wrong and wrong.value), _PLACES)
 
-    heads = cut(pages.select("chunk", "doc", "text").mapInArrow(_heads, "chunk bigint, doc string, head string, sure boolean, bare boolean, names array<string>, cited array<string>"))
-    often = heads.where("head IS NOT NULL").groupBy("doc", "head").agg(F.countDistinct("chunk").alias("pages"), F.max("sure").alias("seen_sure")).where("pages > 1 OR seen_sure")
-    cites = heads.select("doc", F.explode("cited").alias("name")).distinct()
-    named = heads.select("chunk", "doc", F.explode("names").alias("name")).join(cites, ["doc", "name"], "left_semi").select("chunk")
-    repeated = heads.where("head IS NOT NULL").join(often.select("doc", "head"), ["doc", "head"], "left_semi").select("chunk")
-    headed = heads.where("sure").select("chunk").unionByName(named).unionByName(repeated).distinct().withColumn("headed", F.lit(True))
+    heads = cut(pages.select("chunk", "doc", "text").mapInArrow(_heads, "chunk bigint, doc string, head string, sure boolean, names array<string>"))
+    often = heads.groupBy("doc", "head").agg(F.countDistinct("chunk").alias("pages"), F.max("sure").alias("seen_sure")).where("pages > 1 OR seen_sure")
+    repeated = heads.join(often.select("doc", "head"), ["doc", "head"], "left_semi")
+    # headers that stand on one page each share a name with others of their document
+    listed = heads.select("chunk", "doc", F.explode("names").alias("name"))
+    names = listed.groupBy("doc", "name").agg(F.countDistinct("chunk").alias("pages")).where("pages > 1")
+    named = listed.join(names, ["doc", "name"], "left_semi").select("chunk")
+    headed = heads.where("sure").select("chunk").unionByName(named).unionByName(repeated.select("chunk")).distinct().withColumn("headed", F.lit(True))
     places = cut(places.join(headed, "chunk", "left").withColumn("headed", F.coalesce("headed", F.lit(False))))
-    marks = places.where("kind = 'page_number' OR kind = 'line' AND headed").select("chunk", "line_no", F.when(F.col("kind") == "line", "header").otherwise("page_number").alias("kind"), F.lit("").alias("fixed"))
+    none = F.lit(None).cast("string")
+    marks = places.where("kind = 'page_number' OR kind = 'line' AND headed").select("chunk", "line_no", F.when(F.col("kind") == "line", "header").otherwise("page_number").alias("kind"), none.alias("word"), F.lit("").alias("fixed"))
     places = places.where("NOT (top AND headed)")
 
-    following = Window.partitionBy("doc").orderBy("page", "chunk")
     first = F.min_by("word", F.when(F.col("kind") == "first", F.col("line_no")))
     ends_cut = F.max((F.col("kind") == "cut") & F.col("rest").isNull())
-    per_page = places.where("kind IN ('first', 'cut')").groupBy("doc", "page", "chunk").agg(first.alias("first"), ends_cut.alias("ends_cut"))
-    near = F.lead("page").over(following) == F.col("page") + 1
-    linked = per_page.select("chunk", "first", F.when(near, F.lead("first").over(following)).alias("next"), F.coalesce(F.lag("ends_cut").over(following), F.lit(False)).alias("continued"))
-    linked = cut(linked)
+    per_page = cut(places.where("kind IN ('first', 'cut')").groupBy("doc", "page", "chunk").agg(first.alias("first"), ends_cut.alias("ends_cut")))
+    following = per_page.groupBy("doc", (F.col("page") - 1).alias("page")).agg(F.min_by("first", "chunk").alias("next"))
+    before = per_page.where("ends_cut").select("doc", (F.col("page") + 1).alias("page"), F.lit(True).alias("continued")).distinct()
+    linked = per_page.join(following, ["doc", "page"], "left").join(before, ["doc", "page"], "left")
+    linked = cut(linked.select("chunk", "first", "next", F.coalesce("continued", F.lit(False)).alias("continued")))
     cuts = places.where("kind = 'cut'").join(linked.select("chunk", "next"), "chunk", "left").select("chunk", "line_no", "word", F.coalesce("rest", "next").alias("rest")).where("rest IS NOT NULL").distinct()
-    cuts = cut(cuts.select("chunk", "line_no", F.concat("word", "rest").alias("closed"), F.concat_ws("-", "word", "rest").alias("hyphened")))
+    cuts = cut(cuts.select("chunk", "line_no", F.col("word").alias("part"), F.concat("word", "rest").alias("closed"), F.concat_ws("-", "word", "rest").alias("hyphened")))
 
     joined = cuts.select(F.explode(F.array("closed", "hyphened")).alias("word")).select(F.lower("word").alias("word")).distinct()
     unseen = joined.join(counted, "word", "left_anti").select("word", F.lit(0).cast("bigint").alias("clean"), F.lit(0).cast("bigint").alias("n"))
     seen = counted.unionByName(unseen)
-    rights = cut(repairs.unionByName(right_forms(seen, unseen)))
+    rights = cut(repairs.unionByName(right_forms(candidate_forms(seen, unseen))))
     known = lambda name: joined.join(counted, "word", "left").join(rights, "word", "left").select(F.col("word").alias(f"{name}_key"), F.coalesce("n", F.lit(0)).alias(f"{name}_n"), F.col("right").alias(f"{name}_right"))
     whole = cuts.withColumns({f"{c}_key": F.lower(c) for c in ("closed", "hyphened")}).join(known("closed"), "closed_key").join(known("hyphened"), "hyphened_key")
     case = lambda form, like: F.when(F.lower(like) == form, F.col(like)).when(F.lower(F.substring(like, 1, 1)) != F.substring(like, 1, 1), F.concat(F.upper(F.substring(form, 1, 1)), F.substring(form, 2, 10_000))).otherwise(form)
@@ -285,7 +397,7 @@ def scan_faults(df: DataFrame, chunk: str = "chunk_id", doc: str = "doc_name", p
         .when(F.col("hyphened_right").isNotNull(), case(F.col("hyphened_right"), "hyphened"))
         .otherwise(F.col("closed"))
     )
-    hyphens = whole.select("chunk", "line_no", F.lit("hyphen").alias("kind"), fixed.alias("fixed"))
+    hyphens = whole.select("chunk", "line_no", F.lit("hyphen").alias("kind"), F.col("part").alias("word"), fixed.alias("fixed"))
 
     # the first word of a page may be the rest of a word cut on the page before
     words = places.where("kind = 'word'").join(linked.where("continued").select("chunk", F.col("first").alias("rest"), F.lit(True).alias("continued")), ["chunk", "rest"], "left")
@@ -297,8 +409,96 @@ def scan_faults(df: DataFrame, chunk: str = "chunk_id", doc: str = "doc_name", p
     slots = words.where("before IS NOT NULL AND after IS NOT NULL").groupBy("before", "after").agg(F.count_if(F.col("word").rlike("^[0-9]+$")).alias("numbers"), F.count_if(lone).alias("letters"))
     slots = slots.where("numbers >= 3 AND numbers > 2 * letters").select("before", "after")
     read = F.translate("word", "".join(DIGITS), "".join(DIGITS.values()))
-    letters = words.where(lone).join(slots, ["before", "after"], "left_semi").select("chunk", "line_no", read.alias("fixed"))
-    numbers = words.where(number.isNotNull()).select("chunk", "line_no", number.alias("fixed"))
-    spelt = words.where(number.isNull() & (F.lower("word") == F.col("word")) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).join(repairs, "word").select("chunk", "line_no", F.col("right").alias("fixed"))
-    misread = letters.unionByName(numbers).unionByName(spelt).select("chunk", "line_no", F.lit("misread").alias("kind"), "fixed")
-    return marks.unionByName(hyphens).unionByName(misread).distinct().withColumnRenamed("chunk", chunk)
+    letters = words.where(lone).join(slots, ["before", "after"], "left_semi").select("chunk", "line_no", "word", read.alias("fixed"))
+    numbers = words.where(number.isNotNull()).select("chunk", "line_no", "word", number.alias("fixed"))
+    lower = words.where(number.isNull() & (F.lower("word") == F.col("word")) & (F.length("word") > 1) & F.col("word").rlike(r"\p{L}")).select("chunk", "line_no", "word", "before", "after")
+    decided = cut(_in_context(lower, candidates, rows))
+    spelt = lower.join(repairs, "word").join(decided, ["chunk", "line_no", "word"], "left_anti").select("chunk", "line_no", "word", F.col("right").alias("fixed"))
+    misread = letters.unionByName(numbers).unionByName(spelt).unionByName(decided.withColumnRenamed("right", "fixed")).select("chunk", "line_no", F.lit("misread").alias("kind"), "word", "fixed")
+    return marks.unionByName(hyphens).unionByName(misread).distinct()
+
+
+#: Marks that end a sentence, and those that stand close after a word.
+_ENDS, _CLOSE = r"[.!?:;…][\"'”’)\]]*$", r"^[.,;:!?…)\]”’\"']"
+
+
+def _repaired(batches: Iterator) -> Iterator:
+    """The paragraphs of each page, its faults (line_no, kind, word, fixed) mended."""
+    import pyarrow as pa
+
+    names = ["chunk", "doc", "page", "pieces", "cut", "open"]
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.bool_()]
+    for batch in batches:
+        out = []
+        for chunk, doc, page, text, faults in zip(*(c.to_pylist() for c in batch.columns)):
+            by_line: dict[int, list] = {}
+            for f in faults or ():
+                by_line.setdefault(f["line_no"], []).append(f)
+            pieces: list[str] = []
+            apart, carried = True, False
+            for i, line in enumerate(text.split("\n"), 1):
+                mine = by_line.get(i, [])
+                if any(f["kind"] in ("header", "page_number") for f in mine):
+                    continue
+                if not line.strip():
+                    apart = apart or not carried
+                    continue
+                if carried:  # what was cut is whole on the line before
+                    line = re.sub(rf"^\s*{_TOKEN.pattern}", "", line, count=1)
+                whole = next((f for f in mine if f["kind"] == "hyphen"), None)
+                if whole:
+                    line = re.sub(rf"{re.escape(whole['word'])}-[ \t\r]*$", lambda _, w=whole: w["fixed"], line)
+                swaps = {f["word"]: f["fixed"] for f in mine if f["kind"] == "misread"}
+                if swaps:
+                    line = _TOKEN.sub(lambda m, s=swaps: s.get(m[0], m[0]), line)
+                line = " ".join(line.split())
+                if apart or not pieces:
+                    pieces.append(line)
+                elif line:
+                    pieces[-1] += line if re.match(_CLOSE, line) else f" {line}"
+                apart, carried = False, whole is not None
+            ends = not pieces or carried or not re.search(_ENDS, pieces[-1])
+            out.append((chunk, doc, page, pieces, carried, ends))
+        columns = [*zip(*out)] or [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
+
+
+def repaired_text(df: DataFrame, chunk: str = "chunk_id", doc: str = "doc_name", page: str = "chunk_index", text: str = "text", scanned: str = SCANNED) -> DataFrame:
+    """``(chunk, paragraph_no, doc, text)``: the scanned pages as continuous paragraphs.
+
+    Headers and page numbers are gone, cut words whole, misread ones right. A
+    paragraph ends at a blank line of the body, or at the end of a page that ends a
+    sentence; one that goes on over pages belongs to the page on which it begins.
+    Pages are repaired one by one and joined with the next by equality; the chains
+    of pages that one paragraph runs through are resolved as hierarchies, so no
+    document is gathered. Of a page delivered under several keys every copy has its
+    paragraphs. Null texts and names have none; an empty table gives an empty table.
+    """
+    from quillgraph.operators.hierarchy import full_hierarchies
+
+    rows = _rows(df, chunk, doc, page, text)
+    faults = _faults(rows, scanned)
+    listed = faults.groupBy("chunk").agg(F.collect_list(F.struct("line_no", "kind", "word", "fixed")).alias("faults"))
+    pages = rows.where(F.col("doc").rlike(scanned)).groupBy("chunk").agg(F.min(F.struct("doc", "page", "text")).alias("p")).select("chunk", "p.*").join(listed, "chunk", "left")
+    fixed = cut(pages.select("chunk", "doc", "page", "text", "faults").mapInArrow(_repaired, "chunk bigint, doc string, page bigint, pieces array<string>, cut boolean, open boolean").where("size(pieces) > 0"))
+    last = fixed.groupBy("doc", (F.col("page") + 1).alias("page")).agg(F.min_by(F.struct("chunk", "cut", "open", F.size("pieces").alias("n")), "chunk").alias("before"))
+    with_last = cut(fixed.join(last, ["doc", "page"], "left").withColumn("joins", F.coalesce("before.open", F.lit(False))))
+    # what a cut word left at the top of the page is whole on the page before
+    token = r"^[({]?[\p{L}\p{N}]+(?:['’({-][\p{L}\p{N}]+)*"
+    top = F.when(F.coalesce("before.cut", F.lit(False)), F.ltrim(F.regexp_replace(F.element_at("pieces", 1), token, ""))).otherwise(F.element_at("pieces", 1))
+    chains = with_last.where("joins AND before.n = 1").select(F.lit("p").alias("hierarchy"), F.col("chunk").alias("child"), F.col("before.chunk").alias("parent"))
+    roots = full_hierarchies(chains).select(F.col("node_id").alias("chunk"), "root_id", "depth")
+    flat = with_last.select("chunk", "doc", "joins", "before", F.posexplode(F.concat(F.array(top), F.slice("pieces", 2, 1_000_000))).alias("no", "text"))
+    owned = flat.join(roots, "chunk", "left")
+    # a page that is one paragraph hands it on to the page before, down to the root of the chain
+    first = (F.col("no") == 0) & F.col("joins")
+    chained = F.col("before.n") == 1
+    owner = F.when(first & chained, F.col("root_id")).when(first, F.col("before.chunk")).otherwise(F.col("chunk"))
+    owned = owned.select("doc", owner.alias("owner"), F.when(first & ~chained, F.col("before.n") - 1).when(first, F.lit(0)).otherwise(F.col("no")).alias("no"), F.when(first, F.coalesce("depth", F.lit(0)) + 1).otherwise(0).alias("at"), "text")
+    owned = cut(owned)
+    # the root of a chain may itself go on from a page with several paragraphs
+    moved = flat.where("no = 0 AND joins AND before.n > 1").select(F.col("chunk").alias("owner"), F.lit(0).alias("no"), F.col("before.chunk").alias("to"), (F.col("before.n") - 1).alias("to_no"))
+    owned = owned.join(moved, ["owner", "no"], "left").withColumns({"owner": F.coalesce("to", "owner"), "no": F.coalesce("to_no", "no")})
+    parts = owned.groupBy("owner", "no").agg(F.min("doc").alias("doc"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("parts"))
+    glued = F.aggregate("parts", F.lit(""), lambda a, x: F.when((a == "") | (x["text"] == "") | x["text"].rlike(_CLOSE), F.concat(a, x["text"])).otherwise(F.concat(a, F.lit(" "), x["text"])))
+    return parts.select(F.col("owner").alias(chunk), (F.col("no") + 1).cast("int").alias("paragraph_no"), F.col("doc").alias(doc), glued.alias("text"))
