@@ -94,3 +94,37 @@ def test_same_entities(spark):
     got = {(r.entity_id_a, r.entity_id_b) for r in names.same_entity_pairs(df).collect()}
     assert got == {(a, b) for a in range(1, 6) for b in range(1, 6) if a < b}
     assert names.same_entity_pairs(df.limit(0)).count() == 0
+
+
+def test_reordered_names_acronyms_and_numbers(spark):
+    assert names.person_form("John Smith III") == ("smith", "john") and names.person_form("John Smith, IV") == ("smith", "john")
+    assert names.same_person(names.person_form("Ludo Garciaz"), names.person_form("Ludovic Garciaz")) and not names.same_person(names.person_form("Al Garciaz"), names.person_form("Alma Garciaz"))
+    rows = [(1, "Pablo Garcia", "Person"), (2, "Garcia Pablo", "Person"), (3, "Maria del Carmen Lopez", "Person"), (4, "Lopez Maria del Carmen", "Person"), (5, "Paula Garcia", "Person")]
+    rows += [(6, "IBM", "Organization"), (7, "International Business Machines", "Organization"), (8, "World Health Organisation", "Organization"), (9, "WHO", "Organization"), (10, "The WHO Foundation", "Organization")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], "entity_id long, name string, entity_type string, aliases array<string>, embedding array<float>")
+    assert {(r.entity_id_a, r.entity_id_b) for r in names.same_entity_pairs(df).collect()} == {(1, 2), (3, 4), (6, 7), (8, 9)}
+
+
+def test_one_family_name_with_very_many_forms(spark):
+    rng = random.Random(2)
+    syllables = ["ka", "lo", "mi", "ne", "ru", "sa", "to", "vu", "ze", "pi", "da", "ho"]
+    givens = sorted({"".join(rng.choices(syllables, k=5)).capitalize() for _ in range(60_000)})[:50_000]
+    rows = [(i, f"{g} Smithson", "Person", None) for i, g in enumerate(givens)] + [(100_000, f"{givens[7]} Smithsom", "Person", None), (100_001, f"Smithson, {givens[9]}", "Person", None)]
+    df = spark.createDataFrame(rows, "entity_id long, name string, entity_type string, aliases array<string>")
+    classes = {r.entity_id: r.class_id for r in names.same_entities(df, embedding=None).collect()}
+    assert len(classes) == 50_002 and classes[100_000] == classes[7] and classes[100_001] == classes[9]
+
+
+def test_limits_come_from_known_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        v = rng.standard_normal(16)
+        name = "".join(chr(97 + x) for x in rng.integers(0, 26, 9)).capitalize()
+        rows += [(3 * i, f"Anna {name}", "Person", [], v.tolist()), (3 * i + 1, f"Anna {name}", "Person", [], (v + 0.3 * rng.standard_normal(16)).tolist())]
+        w = v if i % 2 else -v
+        rows.append((3 * i + 2, f"Anna {name[:-1]}{'q' if name[-1] != 'q' else 'z'}", "Person", [], (w + 0.3 * rng.standard_normal(16)).tolist()))
+    df = spark.createDataFrame(rows, "entity_id long, name string, entity_type string, aliases array<string>, embedding array<double>")
+    classes = {r.entity_id: r.class_id for r in names.same_entities(df).collect()}
+    assert all(classes[3 * i + 1] == classes[3 * i] for i in range(40)) and not any(classes[3 * i + 2] == classes[3 * i] for i in range(0, 40, 2))
+    assert sum(classes[3 * i + 2] == classes[3 * i] for i in range(1, 40, 2)) >= 18  # two standard deviations keep most
