@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.lookalike import canonical
+from quillgraph.llm.lookalike import canonical, code_table, confusable_letters
 
 #: Words of the texts of one index at most (some 100,000 texts; about 30 bytes a
 #: word); more are searched one index after the other.
@@ -40,28 +40,37 @@ _CELLS = 1 << 18
 _REMEMBERED = 300_000
 
 _WORDS = re.compile(r"[^\W_]+")
-_known: dict[str, list[str]] = {}
 
 
-def words_of(text: str | None) -> list[str]:
-    """The words (runs of letters and digits) of a text in its consistent form, lower case.
+class Words:
+    """The words (runs of letters and digits) of texts in their consistent form, lower case.
 
     The consistent form never joins what a blank parts, so it is made, and
     remembered, for each piece between blanks.
     """
-    if not text:
-        return []
-    out: list[str] = []
-    for piece in text.split():
-        words = _known.get(piece)
-        if words is None:
-            words = _WORDS.findall(canonical(piece).lower())
-            if len(piece) <= 100:
-                if len(_known) >= _REMEMBERED:
-                    _known.clear()
-                _known[piece] = words
-        out += words
-    return out
+
+    def __init__(self, table: dict[int, str] | None = None) -> None:
+        self.table = table or code_table()
+        self.known: dict[str, list[str]] = {}
+
+    def __getstate__(self) -> dict:
+        return {"table": self.table, "known": {}}
+
+    def __call__(self, text: str | None) -> list[str]:
+        out: list[str] = []
+        for piece in (text or "").split():
+            words = self.known.get(piece)
+            if words is None:
+                words = _WORDS.findall(canonical(piece, self.table).lower())
+                if len(piece) <= 100:
+                    if len(self.known) >= _REMEMBERED:
+                        self.known.clear()
+                    self.known[piece] = words
+            out += words
+        return out
+
+
+words_of = Words()
 
 
 def _ranges(starts, ends):
@@ -78,9 +87,10 @@ class LeakIndex:
     """Posting lists with block maxima of test texts, their impacts divided by
     each text's own threshold. Entries are (item, field, text)."""
 
-    def __init__(self, entries: list[tuple[int, int, str]], run: int = 13, k1: float = 1.5, b: float = 0.75, block: int = BLOCK) -> None:
+    def __init__(self, entries: list[tuple[int, int, str]], run: int = 13, k1: float = 1.5, b: float = 0.75, block: int = BLOCK, words_of: Words = words_of) -> None:
         import numpy as np
 
+        self.words_of = words_of
         texts = [(item, field, w) for item, field, text in entries if len(w := words_of(text)) >= run]
         self.run, self.block, n = run, block, len(texts)
         self.items = np.array([t[0] for t in texts], dtype=np.int64)
@@ -195,7 +205,7 @@ class LeakIndex:
         if not len(self.items):
             return
         run, unknown = self.run, len(self.terms)
-        words = [words_of(t) for t in texts]
+        words = [self.words_of(t) for t in texts]
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         get = self.terms.get
         ids = np.fromiter((get(x, unknown) for w in words for x in w), dtype=np.int64, count=int(sizes.sum()))
@@ -264,14 +274,15 @@ def leaks(
     total = entries.agg(F.sum(F.size(F.split("text", r"[^\p{L}\p{N}]+")))).first()[0] or 0
     portions = max(1, -(-total // max_words))
     kind, item_kind = documents.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    words = Words(code_table(confusable_letters(documents.sparkSession)))
     found = None
     for portion in range(portions):
         mine = (entries if portions == 1 else entries.where(F.pmod(F.xxhash64("item"), F.lit(portions)) == portion)).collect()
         answers: dict[int, list[list[str]]] = {}
         for r in mine:
-            if words := words_of(r.answer):
-                answers.setdefault(r.item, []).append(words)
-        index = documents.sparkSession.sparkContext.broadcast((LeakIndex([(r.item, r.field, r.text) for r in mine], run), answers))
+            if said := words(r.answer):
+                answers.setdefault(r.item, []).append(said)
+        index = documents.sparkSession.sparkContext.broadcast((LeakIndex([(r.item, r.field, r.text) for r in mine], run, words_of=words), answers))
 
         def search(batches: Iterator, index=index) -> Iterator:
             import pyarrow as pa

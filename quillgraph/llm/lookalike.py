@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillgraph.common import cut
 
-# Letters of other scripts and the Latin letters they look like.
+# Letters of other scripts and the Latin letters they look like, for code
+# without a JVM; with one, the public table of confusable characters is asked as well.
 LOOK_ALIKE = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s",
     "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ё": "ë", "ї": "ï", "ӏ": "l",
@@ -42,36 +43,77 @@ HYPHENS = "\u2010\u2011\u2012\u2212\ufe63\uff0d"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ĳ": "ij", "Ĳ": "IJ", "ǉ": "lj", "ǌ": "nj", "ǆ": "dž"}
 
 
-def single_characters() -> dict[str, str]:
-    """All replacements of one character by one, or by nothing (invisible ones)."""
-    width = {chr(c): chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)}
-    # half-width and other narrow forms whose compatibility form is one character
-    narrow = {chr(c): n for c in range(0xFF61, 0xFFEF) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and n != chr(c)}
-    table = width | narrow | LOOK_ALIKE | dict.fromkeys(BLANKS, " ") | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(INVISIBLE, "")
-    return table
-
-
-def mapped(text: Column) -> Column:
+#: Blocks of scripts whose letters are looked up among the confusable characters:
+#: Greek, Cyrillic, Armenian, Cherokee, Coptic, Lisu and their supplements.
+SCRIPTS = [(0x370, 0x400), (0x400, 0x590), (0x13A0, 0x1400), (0x1C80, 0x1C90), (0x2C80, 0x2D00), (0x2DE0, 0x2E00), (0xA4D0, 0xA500), (0xA640, 0xA6A0), (0xAB70, 0xABC0)]
+
+# Kinds of compatibility form that differ in nothing but their shape.
+SHAPES = ("<font>", "<wide>", "<narrow>", "<noBreak>", "<initial>", "<medial>", "<final>", "<isolated>")
+
+_letters: dict[str, str] = {}
+
+
+def confusable_letters(spark: SparkSession) -> dict[str, str]:
+    """Letters of :data:`SCRIPTS` with the Latin letter they look like, out of the
+    public table of confusable characters that comes with Spark's collations; of
+    I and l the one of the letter's case. Accented letters follow their base."""
+    if _letters:
+        return _letters
+    table = dict(LOOK_ALIKE)
+    letters = [chr(c) for first, stop in SCRIPTS for c in range(first, stop) if unicodedata.category(chr(c))[0] == "L"]
+    latin = [chr(c) for c in (*range(65, 91), *range(97, 123))]
+    try:
+        skeletons = spark._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(latin + letters)).split("\n")
+    except Exception:  # no JVM to ask
+        return table
+    by_shape: dict[str, list[str]] = {}
+    for letter, shape in zip(latin, skeletons):
+        by_shape.setdefault(shape, []).append(letter)
+    for letter, shape in zip(letters, skeletons[len(latin) :]):
+        alike = by_shape.get(shape, [])
+        table.setdefault(letter, next((x for x in alike if x.isupper() == letter.isupper()), alike[0])) if alike else None
+    for letter in letters:
+        base, *marks = unicodedata.normalize("NFD", letter)
+        if marks and base in table:
+            table.setdefault(letter, unicodedata.normalize("NFC", table[base] + "".join(marks)))
+    _letters.update({c: x for c, x in table.items() if len(x) == 1})
+    return _letters
+
+
+def single_characters(letters: dict[str, str] = LOOK_ALIKE) -> dict[str, str]:
+    """All replacements of one character by one, or by nothing (invisible ones):
+    forms that differ in width, font or position, ``letters``, blanks, hyphens."""
+    shapes = (chr(c) for c in range(0x80, 0x20000) if unicodedata.decomposition(chr(c)).startswith(SHAPES))
+    table = {c: x for c in shapes if len(x := unicodedata.normalize("NFKC", c)) == 1 and x != c}
+    return table | letters | dict.fromkeys(BLANKS, " ") | dict.fromkeys(HYPHENS, "-") | dict.fromkeys(INVISIBLE, "")
+
+
+def mapped(text: Column, letters: dict[str, str] = LOOK_ALIKE) -> Column:
     """``text`` with every replaced character mapped, all in the JVM.
 
     Composition is not touched; that is left to the collation.
     """
-    table = single_characters()
+    table = single_characters(letters)
     kept = [c for c in table if table[c]]
     gone = [c for c in table if not table[c]]
-    for ligature, letters in LIGATURES.items():
-        text = F.replace(text, F.lit(ligature), F.lit(letters))
+    for ligature, plain in LIGATURES.items():
+        text = F.replace(text, F.lit(ligature), F.lit(plain))
     return F.translate(text, "".join(kept + gone), "".join(table[c] for c in kept))
 
 
-_TABLE = {ord(k): v for k, v in (single_characters() | LIGATURES).items()}
+def code_table(letters: dict[str, str] = LOOK_ALIKE) -> dict[int, str]:
+    """All replacements for code that is in Python anyway."""
+    return {ord(k): v for k, v in (single_characters(letters) | LIGATURES).items()}
+
+
+_TABLE = code_table()
 
 
-def canonical(text: str) -> str:
-    """The consistent form of one text, for code that is in Python anyway."""
+def canonical(text: str, table: dict[int, str] = _TABLE) -> str:
+    """The consistent form of one text by a table of :func:`code_table`."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFC", text.translate(_TABLE))
+    return unicodedata.normalize("NFC", text.translate(table))
 
 
 def same_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,7 +127,7 @@ def same_looking(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     not read.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("key").isNotNull())
-    rows = rows.withColumn("form", mapped(F.col("text"))).where(F.col("form").rlike(r"[^\s]"))
+    rows = rows.withColumn("form", mapped(F.col("text"), confusable_letters(df.sparkSession))).where(F.col("form").rlike(r"[^\s]"))
     rows = rows.withColumn("copy", F.struct(F.xxhash64("text"), F.md5("text")))
     copies = rows.groupBy("copy").agg(F.min("key").alias("text_id"), F.min("form").alias("form"))
     alike = Window.partitionBy(F.collate("form", "UNICODE"))

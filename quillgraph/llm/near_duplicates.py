@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.common import cut
+from quillgraph.common import cut, tasks
 
 #: Bands and rows of a band: a pair at the threshold 0.7 shares a band with
 #: probability 0.968, one at 0.75 with 0.997, one at 0.8 with 0.9999.
@@ -28,6 +28,8 @@ WORDS64, SAMPLES = 6, 210
 TOLERANCE = 3.0
 #: Keys that may be broadcast (16 bytes each) after they were counted.
 BROADCAST_KEYS = 1_000_000
+#: Texts whose bands (16 bytes each) one task joins, on average.
+TASK_TEXTS = 12_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MASK = (1 << 64) - 1
@@ -198,7 +200,8 @@ def near_duplicate_sets(df: DataFrame, key: str, text: str, threshold: float) ->
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
-    bands = rows.mapInArrow(_band_keys, "set_id bigint, band bigint").repartition("band").distinct()
+    parts = max(tasks(df.sparkSession), -(-df.count() // TASK_TEXTS))
+    bands = rows.mapInArrow(_band_keys, "set_id bigint, band bigint").repartition(parts, "band").distinct()
     sketch_names = [f"s{j}" for j in range(WORDS64)]
     signed = cut(rows.mapInArrow(_sketches, f"key {kind}, set_id bigint, n int, " + ", ".join(f"{s} bigint" for s in sketch_names)))
     members = signed.select("key", "set_id").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillgraph.common import table
 from quillgraph.llm.boilerplate import repeated_line_places
 from quillgraph.llm.leakage import leak_report, leaked_items
-from quillgraph.llm.lookalike import LIGATURES, same_looking_pairs, single_characters
+from quillgraph.llm.lookalike import same_looking_pairs
 from quillgraph.llm.names import same_entity_pairs
 from quillgraph.llm.near_duplicates import near_duplicate_pairs
 from quillgraph.llm.neighbours import most_similar
@@ -47,6 +47,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_line_places(table(spark, sf_dir, "chunks"))
 
 
+def p7_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The occurrences of lines of at least 8 documents that are not one republished
+    article: of at least 4 clusters of equal documents and 3 days."""
+    return repeated_line_places(table(spark, sf_dir, "chunks"), min_clusters=4, min_dates=3)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every document's text by byte_bpe_50k."""
     return encode_corpus(table(spark, sf_dir, "documents"))
@@ -67,18 +73,27 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_looking_pairs(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p5_found": p5_found, "p5_text": p5_text, "p6_found": p6_found, "p7_found": p7_found, "p7_boilerplate": p7_boilerplate, "p8_ids": p8_ids, "p9_found": p9_found, "p9_report": p9_report, "p10_found": p10_found}
+
 
 
+# Fixed values, written out for the SQL on purpose: what problem 10 takes for equal.
+_SQL_LETTERS = ("асеорхуіјѕһԁԛԝАВЕКМНОРСТХУІЈЅαινορΑΒΕΖΗΙΚΜΝΟΡΤΥΧёїЁЇ", "aceopxyijshdqwABEKMHOPCTXYIJSaivopABEZHIKMNOPTYXëïËÏ")
+_SQL_LIGATURES = [("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬆ", "st")]
+_SQL_BLANKS = [0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+_SQL_HYPHENS = [0x2010, 0x2011, 0x2012, 0x2212]
+_SQL_INVISIBLE = [0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF]
+
 
 def _consistent(column: str) -> str:
     """The consistent form of a text, as SQL."""
-    table = single_characters()
-    kept, gone = [c for c in table if table[c]], [c for c in table if not table[c]]
-    for ligature, letters in LIGATURES.items():
-        column = f"replace({column}, '{ligature}', '{letters}')"
-    quoted = lambda text: "'" + text.replace("'", "''") + "'"
-    return f"nfc_normalize(translate({column}, {quoted(''.join(kept + gone))}, {quoted(''.join(table[c] for c in kept))}))"
+    for ligature, plain in _SQL_LIGATURES:
+        column = f"replace({column}, '{ligature}', '{plain}')"
+    listed = lambda codes: "".join(map(chr, codes)).replace("'", "''")
+    wide = range(0xFF01, 0xFF5F)
+    old = listed(wide) + _SQL_LETTERS[0] + listed(_SQL_BLANKS + _SQL_HYPHENS + _SQL_INVISIBLE)
+    new = listed(c - 0xFEE0 for c in wide) + _SQL_LETTERS[1] + " " * len(_SQL_BLANKS) + "-" * len(_SQL_HYPHENS)
+    return f"nfc_normalize(translate({column}, '{old}', '{new}'))"
 
 
 def _runs(key: str, source: str) -> str:
@@ -87,14 +102,7 @@ def _runs(key: str, source: str) -> str:
   FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM (SELECT {key}, regexp_extract_all(lower({_consistent('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source}))"""
 
 
-ORACLE = {
-    "p9_found": f"""WITH item AS (SELECT item_id, question AS text FROM eval_cases UNION ALL SELECT item_id, passage FROM eval_cases),
-a AS ({_runs('item_id', 'item')}), b AS ({_runs('doc_id', 'documents')})
-SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (run)""",
-    "p10_found": f"""WITH f AS (SELECT doc_id, text, {_consistent('text')} AS form FROM documents WHERE text IS NOT NULL),
-g AS (SELECT * FROM f WHERE regexp_matches(form, '[^\\s]'))
-SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
-    "p7_found": r"""WITH lines AS (
+_LINES = r"""WITH lines AS (
   SELECT chunk_id, doc_name, split_part(doc_name, '|', 1) AS site, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no
   FROM (SELECT DISTINCT chunk_id, doc_name, text FROM chunks WHERE doc_name IS NOT NULL AND text IS NOT NULL)
 ),
@@ -102,6 +110,27 @@ keyed AS (
   SELECT *, regexp_replace(lower(trim(regexp_replace(line, '[\s\p{Z}]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS k
   FROM lines WHERE length(regexp_replace(line, '[^\p{L}]', '', 'g')) >= 10
 ),
-often AS (SELECT site, k FROM keyed GROUP BY site, k HAVING count(DISTINCT doc_name) >= 8)
+"""
+
+ORACLE = {
+    "p9_found": f"""WITH item AS (SELECT item_id, question AS text FROM eval_cases UNION ALL SELECT item_id, passage FROM eval_cases),
+a AS ({_runs('item_id', 'item')}), b AS ({_runs('doc_id', 'documents')})
+SELECT DISTINCT doc_id, item_id FROM a JOIN b USING (run)""",
+    "p10_found": f"""WITH f AS (SELECT doc_id, text, {_consistent('text')} AS form FROM documents WHERE text IS NOT NULL),
+g AS (SELECT * FROM f WHERE regexp_matches(form, '[^\\s]'))
+SELECT DISTINCT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM g a JOIN g b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p9_report": f"""WITH item AS (SELECT item_id, 'q' AS field, question AS text FROM eval_cases UNION ALL SELECT item_id, 'p', passage FROM eval_cases),
+a AS ({_runs('item_id, field', 'item')}), b AS ({_runs('doc_id', 'documents')}),
+hit AS (SELECT DISTINCT doc_id, item_id, field FROM a JOIN b USING (run)),
+said AS (SELECT item_id, array_to_string(regexp_extract_all(lower({_consistent('answer')}), '[\\p{{L}}\\p{{N}}]+'), ' ') AS s FROM eval_cases),
+doc AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower({_consistent('text')}), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS t FROM documents SEMI JOIN hit USING (doc_id)),
+per AS (SELECT item_id, doc_id, bool_or(field = 'q') AS q, bool_or(field = 'p') AS p, bool_or(s <> '' AND contains(t, ' ' || s || ' ')) AS a FROM hit JOIN said USING (item_id) JOIN doc USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, count(*) AS n_docs, count(*) FILTER (WHERE q) AS n_question, count(*) FILTER (WHERE p) AS n_passage, count(*) FILTER (WHERE a) AS n_answered FROM per GROUP BY 1""",
+    "p7_found": _LINES + """often AS (SELECT site, k FROM keyed GROUP BY site, k HAVING count(DISTINCT doc_name) >= 8)
+SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed SEMI JOIN often USING (site, k)""",
+    "p7_boilerplate": _LINES + """parts AS (SELECT doc_name, md5(text) AS h, min(CAST(ingested_at AS DATE)) AS day FROM chunks WHERE doc_name IS NOT NULL AND text IS NOT NULL GROUP BY 1, 2),
+docs AS (SELECT doc_name, string_agg(h, ' ' ORDER BY h) AS cluster, min(day) AS day FROM parts GROUP BY 1),
+per_cluster AS (SELECT site, k, cluster, count(DISTINCT doc_name) AS n, min(day) AS day FROM (SELECT DISTINCT site, k, doc_name FROM keyed) JOIN docs USING (doc_name) GROUP BY 1, 2, 3),
+often AS (SELECT site, k FROM per_cluster GROUP BY site, k HAVING sum(n) >= 8 AND count(*) >= 4 AND count(DISTINCT coalesce(day, DATE '0001-01-01')) >= 3)
 SELECT DISTINCT chunk_id, CAST(line_no AS INTEGER) AS line_no FROM keyed SEMI JOIN often USING (site, k)""",
 }

@@ -38,6 +38,16 @@ def test_same_looking(spark):
     assert len({forms[i] for i in alike}) == 1 and 13 not in forms and 16 not in forms
 
 
+def test_confusable_letters(spark):
+    letters = lookalike.confusable_letters(spark)
+    assert len(letters) > 150 and all(letters[c] == x for c, x in lookalike.LOOK_ALIKE.items())
+    assert letters["Ꭺ"] == "A" and letters["ꓳ"] == "O" and letters["Ӏ"] == "I" and "б" not in letters and "ж" not in letters
+    texts = {1: "SPAM offer", 2: "ЅРАМ offer", 3: "SPᎪM offer", 4: "𝐒𝐏𝐀𝐌 𝑜𝑓𝑓𝑒𝑟", 5: "SPAM off3r", 6: "spam offer", 7: "ﺳﻼم", 8: "سلام"}
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {(r.doc_id_a, r.doc_id_b) for r in lookalike.same_looking_pairs(df).collect()}
+    assert {(1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4)} <= got and not any({5, 6} & {*p} for p in got)
+
+
 def test_invisible_and_blank_tables_are_what_they_say():
     import unicodedata
 
@@ -69,6 +79,21 @@ def test_repeated_lines(spark):
     assert boilerplate.repeated_line_places(df.limit(0)).count() == 0
 
 
+def test_republished_articles_are_no_boilerplate(spark):
+    from datetime import datetime
+
+    rows = [(n, f"s|r{n}", "a republished article about rivers\nand its second line", datetime(2024, 1, 1 + n)) for n in range(12)]  # one cluster
+    rows += [(100 + n, f"s|d{n}", f"share this page with friends\nown words {'abcdefghijkl'[n]}", datetime(2024, 1, 1 + n)) for n in range(12)]
+    rows += [(200 + n, f"s|o{n}", f"only on one single day\nother words {'abcdefghijkl'[n]}", datetime(2024, 2, 1)) for n in range(12)]
+    df = spark.createDataFrame(rows, "chunk_id long, doc_name string, text string, ingested_at timestamp")
+    lines = lambda **least: {tuple(r) for r in boilerplate.repeated_line_places(df, **least).collect()}
+    assert {c // 100 for c, _ in lines()} == {0, 1, 2}
+    assert lines(min_clusters=4) == {(c, 1) for c in (*range(100, 112), *range(200, 212))}
+    assert lines(min_clusters=4, min_dates=3) == {(c, 1) for c in range(100, 112)}
+    counts = {r.n_docs: (r.n_clusters, r.n_dates) for r in boilerplate.repeated_lines(df, min_clusters=4, min_dates=3).collect()}
+    assert counts == {12: (12, 12)}
+
+
 def test_leaks_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(300)] + ["naïve", "café"]
