@@ -53,6 +53,11 @@ COMMON_WORDS = [
     "only", "even", "still", "already", "often", "never", "always", "yes", "no",
     "true", "false", "null", "none", "unknown", "n/a", "etc",
 ]
+# Words that tell nothing in a description.
+DESCRIPTION_STOP = [
+    "that", "this", "with", "from", "have", "been", "were", "they", "their", "also", "well", "known", "very", "when", "some", "many", "most",
+    "more", "than", "into", "about", "after", "which", "would", "could", "should", "other", "over",
+]
 LEAST_SCORE = {"Person": 0.55, "Organization": 0.55, "Location": 0.60, "Work": 0.65, "Event": 0.65, "Facility": 0.60, "Product": 0.75}
 
 
@@ -101,9 +106,9 @@ def token_core(token: Column) -> Column:
 
 
 def significant_words(text: Column) -> Column:
-    """Different alphabetic words of at least 4 letters that are no common words."""
+    """Different alphabetic words of at least 4 letters outside the stop list of descriptions."""
     words = F.split(F.lower(text), r"[^\p{L}]+")
-    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(COMMON_WORDS)))
+    return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(DESCRIPTION_STOP)))
 
 
 def embed_text(name: Column, description: Column, aliases: Column | None = None) -> Column:

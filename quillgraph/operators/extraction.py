@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Titles and roles of persons, endings of organisations.
@@ -243,7 +243,7 @@ def with_provider(docs: DataFrame, provider: Callable[[list[str]], list[list[tup
 
 def inside_order(rows: DataFrame, budget: int) -> DataFrame:
     """The ``budget`` least confident entities, for another extraction."""
-    return rows.withColumn("r", F.row_number().over(Window.orderBy("confidence", "entity_id"))).where(F.col("r") <= budget).drop("r") if budget else rows.limit(0)
+    return rows.orderBy("confidence", "entity_id").limit(budget)
 
 
 PAYLOAD = "entities array<struct<name:string,type:string,description:string,fields:map<string,string>>>, relations array<struct<`from`:string,`to`:string,relation:string>>"

@@ -154,12 +154,55 @@ def merge_entities(entities: DataFrame, relations: DataFrame, mentioned: DataFra
     mapped = entities.join(mapping, F.col("entity_id") == F.col("old"), "left").withColumn("target", F.coalesce("keep", "entity_id"))
     alias = F.concat(F.coalesce("aliases", F.array().cast("array<string>")), F.when(F.col("keep").isNotNull(), F.array("name")).otherwise(F.array().cast("array<string>")))
     names = mapped.select("target", F.explode_outer(alias).alias("alias")).groupBy("target").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
-    own = F.struct(F.col("keep").isNull(), F.length(F.coalesce("description", F.lit(""))))
-    merged = mapped.groupBy("target").agg(
-        F.max_by("name", own).alias("name"), F.max_by("entity_type", own).alias("entity_type"), F.sum("mention_count").alias("mention_count"),
-        F.max_by(F.coalesce("description", F.lit("")), F.struct(F.length(F.coalesce("description", F.lit(""))), F.coalesce("description", F.lit("")))).alias("description"),
-    )
-    return merged.join(names, "target").withColumnRenamed("target", "entity_id"), upsert_relations(moved), new(mentioned, "entity_id").distinct()
+    longest = F.struct(F.length(F.coalesce("description", F.lit(""))), F.coalesce("description", F.lit("")))
+    merged = mapped.groupBy("target").agg(F.sum("mention_count").alias("mention_count"), F.max_by(F.coalesce("description", F.lit("")), longest).alias("description"))
+    changed = merged.join(names, "target")
+    if "evidence" in entities.columns:
+        evidence = mapped.select("target", F.explode_outer("evidence").alias("chunk")).groupBy("target").agg(F.array_sort(F.collect_set("chunk")).alias("evidence"))
+        changed = changed.join(evidence, "target")
+    # everything else, the embedding, times, gender and schema, is what the kept one has
+    rest = entities.drop(*(c for c in changed.columns if c != "target"))
+    out = rest.join(changed.withColumnRenamed("target", "entity_id"), "entity_id").select(entities.columns)
+    return out, upsert_relations(moved), new(mentioned, "entity_id").distinct()
+
+
+def is_seeded(evidence: Column) -> Column:
+    """Whether a relation was seeded: its evidence holds chunk 0."""
+    return F.coalesce(F.array_contains(evidence, F.lit(0).cast("bigint")), F.lit(False))
+
+
+def delete_entities(entities: DataFrame, relations: DataFrame, mentioned: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Without the entities of ``gone`` (entity_id), their relations and mentions."""
+    gone = gone.select("entity_id").distinct()
+    kept = relations.join(gone.withColumnRenamed("entity_id", "src_id"), "src_id", "left_anti").join(gone.withColumnRenamed("entity_id", "dst_id"), "dst_id", "left_anti")
+    return entities.join(gone, "entity_id", "left_anti"), kept.select(relations.columns), mentioned.join(gone, "entity_id", "left_anti").select(mentioned.columns)
+
+
+def set_attributes(entities: DataFrame, changes: DataFrame) -> DataFrame:
+    """``entities`` with the values of ``changes`` (entity_id and any of their columns)
+    that are not null in place of their own; one change an entity."""
+    names = [c for c in changes.columns if c != "entity_id"]
+    joined = entities.join(changes.select("entity_id", *(F.col(c).alias(f"__{c}") for c in names)), "entity_id", "left")
+    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in names else F.col(c) for c in entities.columns))
+
+
+def count_mentions(entities: DataFrame, accesses: DataFrame) -> DataFrame:
+    """``entities`` with the mention count raised by one for each access (entity_id)."""
+    more = accesses.groupBy("entity_id").agg(F.count("*").alias("__more"))
+    rows = entities.join(more, "entity_id", "left").withColumn("mention_count", F.col("mention_count") + F.coalesce("__more", F.lit(0)))
+    return rows.select(entities.columns)
+
+
+def sync_evidence(entities: DataFrame, mentioned: DataFrame) -> DataFrame:
+    """``entities`` with the evidence of the mentions index, sorted; none is the empty list."""
+    listed = mentioned.groupBy("entity_id").agg(F.array_sort(F.collect_set("chunk_id")).alias("__evidence"))
+    rows = entities.drop("evidence").join(listed, "entity_id", "left")
+    return rows.withColumn("evidence", F.coalesce("__evidence", F.array().cast("array<bigint>"))).drop("__evidence")
+
+
+def graph_counts(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """``(n_entities, n_relations)``: stored rows."""
+    return entities.agg(F.count("*").alias("n_entities")).crossJoin(relations.agg(F.count("*").alias("n_relations")))
 
 
 def query_entities(queries: DataFrame, names: DataFrame) -> DataFrame:

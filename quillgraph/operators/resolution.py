@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillgraph.functions.scalar import has_disambiguation_token, normalize_name, significant_words, strip_qualifications, stripped_key
-from quillgraph.operators.graph import neighbours
+from quillgraph.operators.graph import SYMMETRIC, adjacency, neighbours
 
 # Relations that one pair cannot have with the same third one.
 CONTRADICTIONS = [
@@ -184,6 +184,49 @@ def descriptions_diverge(pairs: DataFrame, entities: DataFrame, least_length: in
     return rows.where((F.length("da") >= least_length) & (F.length("db") >= least_length) & (share < least_share)).select("keep_id", "drop_id")
 
 
+def bare_first_name(entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """A one-word name (without honorifics, at least 3 letters) that is the first word
+    of exactly one longer name, of its type; the bare one has no description or both
+    share a neighbour, and the descriptions do not diverge."""
+    rows = named(entities).where("key <> ''").withColumn("k", F.split("key", " "))
+    longer = rows.where(F.size("k") >= 2).groupBy(F.element_at("k", 1).alias("key")).agg(F.count("*").alias("n"), F.min("entity_id").alias("keep_id"), F.min("entity_type").alias("entity_type")).where("n = 1")
+    bare = rows.where((F.size("k") == 1) & (F.length("key") >= 3)).select("key", "entity_type", F.col("entity_id").alias("drop_id"))
+    pairs = bare.join(longer, ["key", "entity_type"]).select("keep_id", "drop_id")
+    plain = entities.select(F.col("entity_id").alias("drop_id"), (F.coalesce("description", F.lit("")) == "").alias("plain"))
+    fit = shared_neighbours(pairs.join(plain, "drop_id"), relations, "keep_id", "drop_id").where("plain OR n_shared > 0").select("keep_id", "drop_id")
+    return fit.join(descriptions_diverge(fit, entities), ["keep_id", "drop_id"], "left_anti")
+
+
+def trusted_parents(relations: DataFrame, least: float = 0.1) -> DataFrame:
+    """``(entity_id, parent_id)`` of child_of relations that are strong enough."""
+    return relations.where((F.col("relation_type") == "child_of") & (F.col("strength") >= least)).select(F.col("src_id").alias("entity_id"), F.col("dst_id").alias("parent_id")).distinct()
+
+
+def trusted_family(relations: DataFrame, least: float = 0.1) -> DataFrame:
+    """``(entity_id, other_id, relation_types)`` of the symmetric family relations, from both ends."""
+    rows = adjacency(relations).where(F.col("relation_type").isin(SYMMETRIC) & (F.col("strength") >= least))
+    return rows.groupBy(F.col("node_id").alias("entity_id"), F.col("neighbour_id").alias("other_id")).agg(F.array_sort(F.collect_set("relation_type")).alias("relation_types"))
+
+
+def different_parents(pairs: DataFrame, relations: DataFrame) -> DataFrame:
+    """Pairs (keep_id, drop_id) with a parent in common and another one on each side: half siblings."""
+    parents = trusted_parents(relations)
+    n = parents.groupBy("entity_id").agg(F.count("*").alias("n"))
+    shared = pairs.join(parents.toDF("keep_id", "parent_id"), "keep_id").join(parents.toDF("drop_id", "parent_id"), ["drop_id", "parent_id"]).groupBy("keep_id", "drop_id").agg(F.count("*").alias("k"))
+    rows = shared.join(n.toDF("keep_id", "na"), "keep_id").join(n.toDF("drop_id", "nb"), "drop_id")
+    return rows.where("k < na AND k < nb").select("keep_id", "drop_id")
+
+
+def unconfirmed_surnames(entities: DataFrame, relations: DataFrame, surnames: DataFrame) -> DataFrame:
+    """Pairs of entities with the same one of ``surnames`` (surname) that have no equal
+    relation to a third entity; for review, so all pairs of a surname are asked for."""
+    rows = named(entities).select("entity_id", F.element_at("words", -1).alias("surname")).join(surnames, "surname", "left_semi")
+    pairs = rows.withColumnRenamed("entity_id", "keep_id").join(rows.withColumnRenamed("entity_id", "drop_id"), "surname").where("keep_id < drop_id").select("keep_id", "drop_id")
+    family = trusted_family(relations).select("entity_id", "other_id", F.explode("relation_types").alias("relation_type"))
+    sure = family.withColumnRenamed("entity_id", "keep_id").join(family.withColumnRenamed("entity_id", "drop_id"), ["other_id", "relation_type"]).where("keep_id < drop_id").select("keep_id", "drop_id").distinct()
+    return pairs.join(sure, ["keep_id", "drop_id"], "left_anti")
+
+
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity raised by up to four common first letters."""
     if a == b:
@@ -273,8 +316,12 @@ def greedy_names(entities: DataFrame) -> DataFrame:
     from quillgraph.common import cut
     from quillgraph.operators.components import connected_components
 
-    rows = entities.where(F.col("name").isNotNull()).select("entity_id", F.lower(F.trim("name")).alias("norm")).where("norm <> ''").withColumn("words", F.split("norm", r"\s+")).withColumn("last", F.element_at("words", -1))
-    equal = _pairs(rows.select("norm", "entity_id"), ["norm"]).where("a_entity_id < b_entity_id").select("a_entity_id", "b_entity_id")
+    every = entities.where(F.col("name").isNotNull()).select("entity_id", F.lower(F.trim("name")).alias("norm")).where("norm <> ''")
+    # equal names are one representative, the smallest id, which the greedy order takes
+    # first in any case; the choice is made among representatives
+    alike = every.groupBy("norm").agg(F.min("entity_id").alias("rep"))
+    equal = every.join(alike, "norm").where("entity_id <> rep").select("rep", "entity_id")
+    rows = alike.select(F.col("rep").alias("entity_id"), "norm").withColumn("words", F.split("norm", r"\s+")).withColumn("last", F.element_at("words", -1))
     single = rows.where(F.size("words") == 1).select("last", "entity_id")
     last = _pairs(rows.where(F.size("words") > 1).select("last", "entity_id"), ["last"], single).select("a_entity_id", "b_entity_id")
     # with at least 4 of 5 words in common, one of the rarest fifth and one more is common
@@ -285,9 +332,9 @@ def greedy_names(entities: DataFrame) -> DataFrame:
     prefix = counts.join(df, "token").withColumn("r", F.row_number().over(order)).join(long.select("entity_id", F.size(F.array_distinct("words")).alias("n"), F.array_distinct("words").alias("set")), "entity_id")
     prefix = prefix.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * 0.8) + 1).select("token", "entity_id", "n", "set")
     overlap = _pairs(prefix, ["token"]).where("a_entity_id < b_entity_id").where(F.size(F.array_intersect("a_set", "b_set")) / F.greatest("a_n", "b_n") >= 0.8).select("a_entity_id", "b_entity_id")
-    links = cut(equal.unionByName(last).unionByName(overlap).select(F.least("a_entity_id", "b_entity_id").alias("a"), F.greatest("a_entity_id", "b_entity_id").alias("b")).distinct())
+    links = cut(last.unionByName(overlap).select(F.least("a_entity_id", "b_entity_id").alias("a"), F.greatest("a_entity_id", "b_entity_id").alias("b")).distinct())
     if links.isEmpty():
-        return links.toDF("keep_id", "drop_id")
+        return equal.toDF("keep_id", "drop_id")
     groups = connected_components(links, "a", "b")
 
     def choose(pdf):
@@ -306,4 +353,8 @@ def greedy_names(entities: DataFrame) -> DataFrame:
                         out.append((node, other))
         return pd.DataFrame(out, columns=["keep_id", "drop_id"])
 
-    return links.join(groups.toDF("a", "component"), "a").groupBy("component").applyInPandas(choose, "keep_id bigint, drop_id bigint")
+    chosen = cut(links.join(groups.toDF("a", "component"), "a").groupBy("component").applyInPandas(choose, "keep_id bigint, drop_id bigint"))
+    # a name whose representative is gone goes with it
+    gone = chosen.select(F.col("drop_id").alias("rep"), "keep_id")
+    rest = equal.join(gone, "rep", "left").select(F.coalesce("keep_id", "rep").alias("keep_id"), F.col("entity_id").alias("drop_id"))
+    return chosen.unionByName(rest)

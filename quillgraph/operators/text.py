@@ -56,17 +56,21 @@ def context_windows(chunks: DataFrame, k: int = 1, joint: str = "\n\n[...]\n\n")
     return listed.select("chunk_id", F.array_join(F.transform(kept, lambda x: x["text"]), joint).alias("window_text"))
 
 
-def match_sections(headings: DataFrame, schema: DataFrame) -> DataFrame:
+def match_sections(headings: DataFrame, schema: DataFrame, most: int = 10_000) -> DataFrame:
     """``headings`` (id, heading) with the first definition (ord, pattern,
-    section_type, skip) whose pattern the heading contains; a schema is a short
-    list, so the join is a broadcast loop."""
+    section_type, skip) whose pattern the heading contains. A schema is a list of
+    the sections of one document; it is counted, and more than ``most`` definitions
+    fail instead of being cut."""
     hit = F.contains(F.lower("heading"), F.lower("pattern"))
-    found = headings.join(F.broadcast(schema.limit(1_000)), hit).groupBy("id").agg(F.min_by(F.struct("pattern", "section_type", "skip"), "ord").alias("s"))
+    if (n := schema.count()) > most:
+        raise ValueError(f"{n} section definitions, at most {most} are compared with every heading")
+    found = headings.join(F.broadcast(schema), hit).groupBy("id").agg(F.min_by(F.struct("pattern", "section_type", "skip"), "ord").alias("s"))
     return headings.join(found, "id", "left").select("id", "heading", "s.pattern", F.coalesce("s.section_type", F.lit("main")).alias("section_type"), F.coalesce("s.skip", F.lit(False)).alias("skip"))
 
 
 def detect_schema(docs: DataFrame, head: int = 3000) -> DataFrame:
-    """ISBN, publisher, copyright year and author out of the first lines of each text."""
+    """ISBN, publisher, copyright year and holder, and author out of the first lines of
+    each text; the year stands under its three names."""
     lines = F.split(F.substring("text", 1, head), "\n")
     first = lambda xs: F.when(F.size(xs) > 0, F.element_at(xs, 1))
     digits = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit("ISBN"))), lambda x: F.regexp_replace(x, "[^0-9X]", ""))
@@ -76,9 +80,11 @@ def detect_schema(docs: DataFrame, head: int = 3000) -> DataFrame:
     rights = F.filter(lines, lambda x: F.contains(F.lower(x), F.lit("copyright")) | F.contains(x, F.lit("©")))
     years = F.transform(rights, lambda x: F.regexp_extract(x, r"(1[89][0-9]{2}|20[0-9]{2}|2100)", 1))
     year = first(F.filter(years, lambda x: x != ""))
+    after = F.transform(F.filter(lines, lambda x: F.contains(x, F.lit("©"))), lambda x: F.regexp_extract(x, r"©\s*(?:opyright)?\s*([^0-9]*)", 1))
+    holder = first(F.filter(F.transform(after, lambda x: F.trim(F.regexp_replace(F.trim(x), ",+$", ""))), lambda x: F.length(x) > 2))
     named = F.transform(F.filter(F.transform(lines, lambda x: F.trim(x)), lambda x: x.startswith("By ")), lambda x: F.trim(F.substring(x, 4, 200)))
     author = first(F.filter(named, lambda x: x.rlike(r"^\p{Lu}") & F.size(F.split(x, r"\s+")).between(2, 5)))
-    return docs.where("text IS NOT NULL").select("doc_id", F.when(isbn.isNotNull(), "Book").alias("schema_type"), isbn.alias("isbn"), publisher.alias("publisher"), year.alias("year"), author.alias("author"))
+    return docs.where("text IS NOT NULL").select("doc_id", F.when(isbn.isNotNull(), "Book").alias("schema_type"), isbn.alias("isbn"), publisher.alias("publisher"), year.alias("year"), year.alias("copyright_year"), year.alias("date_published"), holder.alias("copyright_holder"), author.alias("author"))
 
 
 def index_seeds(lines: DataFrame) -> DataFrame:

@@ -95,7 +95,8 @@ def _merge(s, d):
 
 def merge_entities(s, d):
     merged = _merge(s, d)[0]
-    return merged.select("entity_id", "mention_count", F.length("description").alias("description_length"))
+    listed = F.array_join(F.array_sort(F.array_distinct(F.coalesce("evidence", F.array().cast("array<bigint>")))), ",")
+    return merged.select("entity_id", "name", "mention_count", F.length("description").alias("description_length"), "gender", "schema_type", F.round("confidence", 6).alias("confidence"), F.size("embedding").alias("dim"), "first_chunk_id", F.array_join("aliases", "|").alias("aliases"), listed.alias("evidence"))
 
 
 def unmerge_alias(s, d):
@@ -119,17 +120,51 @@ def crosslink_entities(s, d):
     return rows.where("n_docs > 1")
 
 
+def _by_place(s, d):
+    """The observed relations with, for each chunk of evidence, its place in its document."""
+    place = table(s, d, "chunks").groupBy("chunk_id").agg(F.min("chunk_index").alias("place"))
+    rows = _observed(s, d).where("src_id IS NOT NULL AND dst_id IS NOT NULL AND relation_type IS NOT NULL").select("src_id", "dst_id", "relation_type", F.explode_outer("evidence").alias("chunk_id"))
+    return rows.join(place, "chunk_id", "left").groupBy("src_id", "dst_id", "relation_type").agg(F.collect_set("place").alias("evidence"))
+
+
 def relation_seeded(s, d):
-    """Relations whose evidence holds the chunk in which their source was first seen."""
-    first = entities(s, d).select(F.col("entity_id").alias("src_id"), "first_chunk_id")
-    rows = relations(s, d).join(first, "src_id", "left").withColumn("seeded", F.coalesce(F.array_contains("evidence", F.col("first_chunk_id")), F.lit(False)))
+    """Relations with evidence in chunk 0, the first of a document: chunks are numbered by their place."""
+    rows = _by_place(s, d).withColumn("seeded", G.is_seeded(F.col("evidence")))
     return rows.groupBy("relation_type").agg(F.count_if("seeded").alias("n_seeded"), F.count("*").alias("n"))
 
 
 def _query_entities(s, d):
-    """The entities whose names' first chunk shares the topic's document with a question."""
-    e = entities(s, d).where("mention_count >= 10").select((F.pmod("entity_id", F.lit(20))).alias("query_id"), "entity_id")
-    return e
+    """The entities that a question or its passage names, by single words and pairs of words."""
+    cases = table(s, d, "eval_cases").select(F.col("item_id").alias("query_id"), F.concat_ws(" ", "question", "passage").alias("text"))
+    return G.query_entities(cases, find_by_name(s, d).select("key", "entity_id"))
+
+
+def query_entities(s, d):
+    return _query_entities(s, d)
+
+
+def delete_entity(s, d):
+    gone = table(s, d, "deletions").where("target_kind = 'entity'").select(F.col("target_id").alias("entity_id"))
+    e, r, m = G.delete_entities(entities(s, d), relations(s, d), mentions(s, d), gone)
+    return e.agg(F.count("*").alias("n_entities")).crossJoin(r.agg(F.count("*").alias("n_relations"))).crossJoin(m.agg(F.count("*").alias("n_mentions")))
+
+
+def set_attributes(s, d):
+    changes = entities(s, d).where("entity_id % 4 = 0").select("entity_id", F.when(F.col("entity_id") % 8 == 0, "Thing").alias("schema_type"), F.concat(F.lit("About "), "name").alias("description"))
+    return G.set_attributes(entities(s, d), changes).select("entity_id", "schema_type", "description", "mention_count")
+
+
+def increment_mention(s, d):
+    accesses = table(s, d, "relations").select(F.col("dst_id").alias("entity_id")).where("entity_id IS NOT NULL")
+    return G.count_mentions(entities(s, d), accesses).select("entity_id", "mention_count")
+
+
+def sync_evidence(s, d):
+    return G.sync_evidence(entities(s, d), mentions(s, d)).select("entity_id", F.array_join("evidence", ",").alias("evidence"))
+
+
+def graph_counts(s, d):
+    return G.graph_counts(entities(s, d), relations(s, d))
 
 
 def graph_search(s, d):
@@ -144,7 +179,7 @@ def improved_graph_search(s, d):
 
 def hybrid_search(s, d):
     """The evaluation questions by their words and by the entities that they name,
-    fused over the documents' names. Its SQL still fuses two graph rankings."""
+    fused over the documents' names."""
     cases = table(s, d, "eval_cases").select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
     docs = table(s, d, "documents").where("doc_name IS NOT NULL").select("doc_id", "doc_name", "text")
     words = bm25_scores(docs, cases).join(docs.select("doc_id", "doc_name"), "doc_id").groupBy("query_id", F.col("doc_name").alias("doc_id")).agg(F.max("score").alias("score"))
@@ -180,7 +215,7 @@ QUERIES = {
     for f in (
         entity_upsert, relation_upsert, familial_inverse, relation_constraints, mentions_index, entity_chunks, cooccurrence, adjacency, outgoing_relations, relation_breakdown,
         bfs_neighbors, find_by_name, alias_token_lookup, dangling_prune, delete_relation, merge_entities, unmerge_alias, chunk_tag_prefix, crosslink_entities, relation_seeded,
-        graph_search, improved_graph_search, hybrid_search, confidence_score, field_merge,
+        query_entities, delete_entity, set_attributes, increment_mention, sync_evidence, graph_counts, graph_search, improved_graph_search, hybrid_search, confidence_score, field_merge,
     )
 }
 
@@ -191,8 +226,13 @@ def _in(values) -> str:
 
 _INV = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in (G.INVERSE | {x: x for x in G.SYMMETRIC}).items()) + " END"
 _WEIGHT = "CASE relation_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in G.RELATION_WEIGHTS.items()) + " ELSE 0.5 END"
-_SEARCH = f"""
-qe AS (SELECT ((entity_id % 20) + 20) % 20 AS query_id, entity_id FROM entities WHERE mention_count >= 10),
+_FOUND = f"""
+fk AS (SELECT entity_id, mention_count, {norm('n')} AS key FROM (SELECT entity_id, mention_count, unnest(list_concat([name], coalesce(aliases, []))) AS n FROM entities)),
+fn AS (SELECT key, max_by(entity_id, (mention_count, -entity_id)) AS entity_id FROM fk WHERE key <> '' GROUP BY 1),
+ft AS (SELECT item_id AS query_id, [x FOR x IN regexp_split_to_array(lower(?), '\\s+') IF x <> ''] AS t FROM eval_cases),
+fp AS (SELECT query_id, unnest(list_concat(t, [t[i] || ' ' || t[i + 1] FOR i IN range(1, len(t))])) AS phrase FROM ft),
+qe AS (SELECT DISTINCT query_id, entity_id FROM (SELECT query_id, {norm('phrase')} AS key FROM fp) JOIN fn USING (key)),"""
+_SEARCH = f"""{_FOUND}
 e1 AS (SELECT n.* FROM nb n SEMI JOIN entities e ON e.entity_id = n.neighbour_id),
 d0 AS (SELECT DISTINCT query_id, entity_id FROM qe),
 d1 AS (SELECT DISTINCT query_id, neighbour_id AS entity_id FROM d0 JOIN e1 ON node_id = d0.entity_id EXCEPT SELECT * FROM d0),
@@ -211,9 +251,8 @@ w2 AS (SELECT w1.query_id, neighbour_id AS entity_id, max(path * c * w / 3) AS p
   ANTI JOIN w0 x ON x.query_id = w1.query_id AND x.entity_id = neighbour_id ANTI JOIN w1 y ON y.query_id = w1.query_id AND y.entity_id = neighbour_id GROUP BY 1, 2 HAVING round(max(path * c * w / 3), 9) >= 0.05),
 wr AS (SELECT query_id, entity_id, path * path AS score, 0 AS depth FROM w0 UNION ALL SELECT *, 1 FROM w1 UNION ALL SELECT *, 2 FROM w2),
 g2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
-  FROM (SELECT query_id, doc_id, max(score / (1 + 0.3 * depth)) AS score FROM wr JOIN men USING (entity_id) JOIN cd USING (chunk_id) GROUP BY 1, 2)),
-g3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank
-  FROM (SELECT query_id, doc_id, sum(1 / (60.0 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM g1 WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM g2 WHERE rank <= 10) GROUP BY 1, 2))"""
+  FROM (SELECT query_id, doc_id, max(score / (1 + 0.3 * depth)) AS score FROM wr JOIN men USING (entity_id) JOIN cd USING (chunk_id) GROUP BY 1, 2))"""
+_BOTH = "concat_ws(' ', question, passage)"
 _TOP = "SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM {} WHERE rank <= 10"
 _SIDE = "CASE WHEN k.kind IS NULL THEN least(1.0, e.mention_count / 3.0) ELSE coalesce(f.filled, 0) / k.n END"
 _EXPECTED = ", ".join(f"('{k}', '{v}')" for k, fields in S.EXPECTED_FIELDS.items() for v in fields)
@@ -254,24 +293,45 @@ SELECT src_id, dst_id, relation_type FROM rel ANTI JOIN b USING (src_id, dst_id,
     "chunk_tag_prefix": f"""WITH {MEN}, r AS (SELECT chunk_id, name, row_number() OVER (PARTITION BY chunk_id ORDER BY mention_count DESC, entity_id) AS rn FROM men JOIN entities USING (entity_id))
 SELECT chunk_id, string_agg('[' || name || ']', ' ' ORDER BY rn) AS tags FROM r WHERE rn <= 3 GROUP BY 1""",
     "crosslink_entities": f"WITH {MEN} SELECT entity_id, count(DISTINCT doc_id) AS n_docs, count(DISTINCT chunk_id) AS n_chunks FROM men JOIN cd USING (chunk_id) GROUP BY 1 HAVING count(DISTINCT doc_id) > 1",
-    "relation_seeded": f"""WITH {REL} SELECT rel.relation_type AS relation_type, count(*) FILTER (WHERE e.c IS NOT NULL) AS n_seeded, count(*) AS n FROM rel LEFT JOIN entities x ON x.entity_id = rel.src_id
-LEFT JOIN ev e ON e.src_id = rel.src_id AND e.dst_id = rel.dst_id AND e.relation_type = rel.relation_type AND e.c = x.first_chunk_id GROUP BY 1""",
+    "relation_seeded": f"""WITH {REL}, pl AS (SELECT chunk_id, min(chunk_index) AS place FROM chunks GROUP BY 1),
+z AS (SELECT DISTINCT src_id, dst_id, relation_type FROM ev JOIN pl ON pl.chunk_id = ev.c WHERE place = 0)
+SELECT relation_type, count(*) FILTER (WHERE z.src_id IS NOT NULL) AS n_seeded, count(*) AS n FROM rel LEFT JOIN z USING (src_id, dst_id, relation_type) GROUP BY 1""",
     "merge_entities": """WITH RECURSIVE a AS (SELECT entity_id AS k, unnest(aliases) AS name FROM entities),
 p AS (SELECT k, e.entity_id AS x FROM a JOIN entities e USING (name) WHERE k <> e.entity_id),
 b AS (SELECT k, x FROM p UNION SELECT x, k FROM p),
 reach(u, v) AS (SELECT entity_id, entity_id FROM entities UNION SELECT r.u, b.x FROM reach r JOIN b ON b.k = r.v),
 comp AS (SELECT u, min(v) AS c FROM reach GROUP BY 1),
-keep AS (SELECT c, max_by(entity_id, (mention_count, -entity_id)) AS keep FROM comp JOIN entities ON entity_id = u GROUP BY 1)
-SELECT keep AS entity_id, CAST(sum(mention_count) AS BIGINT) AS mention_count, CAST(max(length(coalesce(description, ''))) AS INTEGER) AS description_length
-FROM entities JOIN comp ON u = entity_id JOIN keep USING (c) GROUP BY 1""",
+keep AS (SELECT c, max_by(entity_id, (mention_count, -entity_id)) AS keep FROM comp JOIN entities ON entity_id = u GROUP BY 1),
+m AS (SELECT keep, entity_id, name, mention_count, description, coalesce(aliases, []) AS aliases, coalesce(evidence, []) AS evidence FROM entities JOIN comp ON u = entity_id JOIN keep USING (c)),
+al AS (SELECT keep, string_agg(DISTINCT a, '|' ORDER BY a) AS aliases FROM (SELECT keep, unnest(CASE WHEN keep = entity_id THEN aliases ELSE list_append(aliases, name) END) AS a FROM m) GROUP BY 1),
+vi AS (SELECT keep, string_agg(CAST(x AS VARCHAR), ',' ORDER BY x) AS evidence FROM (SELECT DISTINCT keep, unnest(evidence) AS x FROM m) GROUP BY 1),
+t AS (SELECT keep, CAST(sum(mention_count) AS BIGINT) AS mention_count, CAST(max(length(coalesce(description, ''))) AS INTEGER) AS description_length FROM m GROUP BY 1)
+SELECT e.entity_id, e.name, t.mention_count, t.description_length, e.gender, e.schema_type, round(e.confidence, 6) AS confidence, CAST(len(e.embedding) AS INTEGER) AS dim, e.first_chunk_id, coalesce(al.aliases, '') AS aliases, coalesce(vi.evidence, '') AS evidence
+FROM t JOIN entities e ON e.entity_id = t.keep LEFT JOIN al ON al.keep = t.keep LEFT JOIN vi ON vi.keep = t.keep""",
     "unmerge_alias": """WITH f AS (SELECT *, list_sort(list_distinct(aliases))[1] AS alias, len(list_distinct(aliases)) AS n FROM entities WHERE len(aliases) > 0),
 h AS (SELECT *, sha256(lower(alias) || '::' || entity_type) AS x FROM f),
 i AS (SELECT *, CAST(CAST('0x' || x[15:16] || x[13:14] || x[11:12] || x[9:10] || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS UBIGINT) AS HUGEINT) AS big FROM h)
 SELECT entity_id, name, greatest(0, mention_count - 1) AS mention_count, CAST(n - 1 AS INTEGER) AS n_aliases FROM f
 UNION ALL SELECT CAST(CASE WHEN big >= 9223372036854775808 THEN big - 18446744073709551616 ELSE big END AS BIGINT), alias, 1, 0 FROM i""",
-    "graph_search": f"WITH {REL}, {MEN}, {_SEARCH} " + _TOP.format("g1"),
-    "improved_graph_search": f"WITH {REL}, {MEN}, {_SEARCH} " + _TOP.format("g2"),
-    "hybrid_search": f"WITH {REL}, {MEN}, {_SEARCH} " + _TOP.format("g3"),
+    "graph_search": f"WITH {REL}, {MEN}, {_SEARCH.replace('?', _BOTH)} " + _TOP.format("g1"),
+    "improved_graph_search": f"WITH {REL}, {MEN}, {_SEARCH.replace('?', _BOTH)} " + _TOP.format("g2"),
+    "query_entities": f"WITH {_FOUND.replace('?', _BOTH).rstrip(',')} SELECT query_id, entity_id FROM qe",
+    "hybrid_search": f"""WITH {REL}, {MEN}, {_SEARCH.replace('?', "coalesce(question, '')").replace('0.5 * direct + 0.5', '0.6 * direct + 0.4').replace('0.25 + 0.5 /', '0.3 + 0.4 /')},
+nd AS (SELECT doc_id, doc_name, text FROM documents WHERE doc_name IS NOT NULL),
+tok AS (SELECT doc_id, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\\s+') IF x <> '']) AS term FROM nd),
+size AS (SELECT d.doc_id, count(t.term) AS len FROM nd d LEFT JOIN tok t USING (doc_id) GROUP BY 1), tf AS (SELECT doc_id, term, count(*) AS tf FROM tok GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+qt AS (SELECT item_id AS query_id, term, count(*) AS qtf FROM (SELECT item_id, unnest([x FOR x IN regexp_split_to_array(lower(question), '\\s+') IF x <> '']) AS term FROM eval_cases) GROUP BY 1, 2),
+bm AS (SELECT query_id, doc_id, sum(qtf * ln(1 + ((SELECT count(*) FROM nd) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / (SELECT avg(len) FROM size)))) AS score FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id) GROUP BY 1, 2),
+bn AS (SELECT query_id, doc_name AS doc_id, max(score) AS score FROM bm JOIN nd USING (doc_id) GROUP BY 1, 2),
+b1 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM bn),
+fu AS (SELECT query_id, doc_id, sum(1 / (60.0 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM b1 WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, rank FROM g1 WHERE rank <= 10) GROUP BY 1, 2),
+g3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) AS rank FROM fu) """ + _TOP.format("g3"),
+    "delete_entity": f"""WITH {REL}, {MEN}, g AS (SELECT target_id FROM deletions WHERE target_kind = 'entity') SELECT (SELECT count(*) FROM entities WHERE entity_id NOT IN (SELECT * FROM g)) AS n_entities,
+(SELECT count(*) FROM rel WHERE src_id NOT IN (SELECT * FROM g) AND dst_id NOT IN (SELECT * FROM g)) AS n_relations, (SELECT count(*) FROM men WHERE entity_id NOT IN (SELECT * FROM g)) AS n_mentions""",
+    "set_attributes": "SELECT entity_id, CASE WHEN entity_id % 8 = 0 THEN 'Thing' ELSE schema_type END AS schema_type, CASE WHEN entity_id % 4 = 0 AND name IS NOT NULL THEN 'About ' || name ELSE description END AS description, mention_count FROM entities",
+    "increment_mention": "SELECT e.entity_id, e.mention_count + coalesce(n, 0) AS mention_count FROM entities e LEFT JOIN (SELECT dst_id, count(*) AS n FROM relations GROUP BY 1) ON dst_id = e.entity_id",
+    "sync_evidence": f"WITH {MEN} SELECT e.entity_id, coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY chunk_id), '') AS evidence FROM entities e LEFT JOIN men USING (entity_id) GROUP BY 1",
+    "graph_counts": f"WITH {REL} SELECT (SELECT count(*) FROM entities) AS n_entities, (SELECT count(*) FROM rel) AS n_relations",
     "confidence_score": f"""WITH x(kind, field) AS (VALUES {_EXPECTED}), k AS (SELECT kind, count(*) AS n FROM x GROUP BY 1),
 f AS (SELECT v.entity_id, count(DISTINCT field_key) AS filled FROM field_values v JOIN entities e USING (entity_id) JOIN x ON x.kind = e.entity_type AND x.field = field_key
   WHERE coalesce(trim(value), '') <> '' AND lower(trim(value)) NOT IN {_in(S.PLACEHOLDERS)} GROUP BY 1)

@@ -114,12 +114,12 @@ def sanitize_spouse(s, d):
 
 
 def sanitize_half_sibling(s, d):
-    """Over all relations. Its SQL still takes cousins for half siblings."""
+    """Over all relations."""
     return Z.drop_superseded_half_siblings(relations(s, d)).select("src_id", "dst_id", "relation_type")
 
 
 def sanitize_parent_paradox(s, d):
-    """Over all relations, children turned to parents. Its SQL still knows no strengths."""
+    """Over all relations, children turned to parents."""
     return Z.drop_parent_paradoxes(Z.children_turned(relations(s, d))).select("src_id", "dst_id", "relation_type")
 
 
@@ -203,10 +203,13 @@ SELECT src_id, dst_id, relation_type, round(CASE WHEN n > 0 THEN least(1.0, n /
 c AS (SELECT entity_id, {_HAS('t', ['he', 'him', 'his', 'himself'])} AS m, {_HAS('t', ['she', 'her', 'hers', 'herself'])} AS f FROM e)
 SELECT entity_id, CASE WHEN m > f THEN 'Male' ELSE 'Female' END AS gender FROM c WHERE m <> f""",
     "sanitize_spouse": f"WITH {REL} SELECT src_id, dst_id FROM rel LEFT JOIN entities a ON a.entity_id = src_id LEFT JOIN entities b ON b.entity_id = dst_id WHERE relation_type = 'spouse_of' AND NOT coalesce(lower(a.gender) IN ('male', 'female') AND lower(a.gender) = lower(b.gender), false)",
-    "sanitize_half_sibling": f"""WITH {REL}, x AS (SELECT src_id, dst_id, CASE relation_type WHEN 'cousin_of' THEN 'half_sibling_of' ELSE relation_type END AS relation_type FROM rel WHERE relation_type IN ('sibling_of', 'cousin_of')),
-f AS (SELECT src_id, dst_id FROM x WHERE relation_type = 'sibling_of' UNION SELECT dst_id, src_id FROM x WHERE relation_type = 'sibling_of')
-SELECT * FROM x WHERE relation_type = 'sibling_of' UNION ALL SELECT x.* FROM x ANTI JOIN f USING (src_id, dst_id) WHERE relation_type = 'half_sibling_of'""",
-    "sanitize_parent_paradox": f"WITH {REL}, p AS (SELECT DISTINCT src_id, dst_id FROM rel WHERE relation_type IN ('parent_of', 'child_of')) SELECT p.src_id, p.dst_id FROM p ANTI JOIN p q ON q.src_id = p.dst_id AND q.dst_id = p.src_id",
+    "sanitize_half_sibling": f"""WITH {REL}, f AS (SELECT src_id, dst_id FROM rel WHERE relation_type = 'sibling_of' UNION SELECT dst_id, src_id FROM rel WHERE relation_type = 'sibling_of')
+SELECT src_id, dst_id, relation_type FROM rel WHERE relation_type <> 'half_sibling_of' UNION ALL SELECT src_id, dst_id, relation_type FROM rel ANTI JOIN f USING (src_id, dst_id) WHERE relation_type = 'half_sibling_of'""",
+    "sanitize_parent_paradox": f"""WITH {REL}, p AS (SELECT src_id, dst_id FROM rel WHERE relation_type = 'parent_of' UNION SELECT dst_id, src_id FROM rel WHERE relation_type = 'child_of'),
+e AS (SELECT src_id, dst_id, c FROM ev WHERE relation_type = 'parent_of' UNION SELECT dst_id, src_id, c FROM ev WHERE relation_type = 'child_of'),
+w AS (SELECT p.src_id, p.dst_id, count(e.c) AS n FROM p LEFT JOIN e USING (src_id, dst_id) GROUP BY 1, 2), g AS (SELECT *, least(1.0, greatest(1, n) / 10) AS strength FROM w),
+bad AS (SELECT a.src_id, a.dst_id FROM g a JOIN g b ON b.src_id = a.dst_id AND b.dst_id = a.src_id WHERE a.strength <= b.strength)
+SELECT src_id, dst_id, 'parent_of' AS relation_type FROM g ANTI JOIN bad USING (src_id, dst_id) UNION ALL SELECT src_id, dst_id, relation_type FROM rel WHERE relation_type NOT IN ('parent_of', 'child_of')""",
     "sanitize_type_mismatch": f"WITH {REL} SELECT relation_type, count(*) AS n FROM rel LEFT JOIN entities ON entity_id = dst_id WHERE NOT (relation_type IN ('located_in', 'works_at', 'lived_in') AND coalesce(entity_type IN ('Person', 'CreativeWork', 'Work'), false)) GROUP BY 1",
     "sanitize_stub": "SELECT entity_id, 'Mr. Dr' AS name FROM entities WHERE entity_id % 50 = 0",
     "purge_unseeded": f"""WITH {REL}, l AS (SELECT *, n_evidence > 1 AS seeded FROM rel WHERE relation_type IN ('parent_of', 'child_of')), x AS (SELECT src_id, dst_id, relation_type FROM l WHERE NOT seeded AND src_id IN (SELECT src_id FROM l WHERE seeded)),

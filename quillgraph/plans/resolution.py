@@ -30,16 +30,66 @@ def dedup_fuzzy(s, d):
     return R.fuzzy(entities(s, d))
 
 
+def _with_degrees(s, d):
+    """The entities, and every fifth of them once more with a degree after the name."""
+    e = entities(s, d)
+    more = e.where("entity_id % 5 = 0").withColumn("name", F.concat("name", F.lit(" Ph.D. BA"))).withColumn("entity_id", F.col("entity_id") + 1_000_000_000)
+    return e.unionByName(more)
+
+
+def _with_parts(s, d):
+    """The entities, and for every third one of its first and one of its last word alone."""
+    e = entities(s, d)
+    words = F.split(F.trim("name"), r"\s+")
+    some = e.where("entity_id % 3 = 0 AND name IS NOT NULL")
+    first = some.withColumn("name", F.element_at(words, 1)).withColumn("entity_id", F.col("entity_id") + 1_000_000_000)
+    last = some.withColumn("name", F.element_at(words, -1)).withColumn("entity_id", F.col("entity_id") + 2_000_000_000)
+    return e.unionByName(first).unionByName(last)
+
+
 def dedup_qualification(s, d):
-    return R.qualification(entities(s, d))
+    return R.qualification(_with_degrees(s, d))
 
 
 def dedup_first_name(s, d):
-    return R.first_name_only(entities(s, d))
+    return R.first_name_only(_with_parts(s, d))
 
 
 def dedup_unique_surname(s, d):
-    return R.unique_surname(entities(s, d))
+    return R.unique_surname(_with_parts(s, d))
+
+
+def dedup_bare_first_name(s, d):
+    return R.bare_first_name(_with_parts(s, d), relations(s, d))
+
+
+def _close_pairs(s, d):
+    return R.neighbour_containment(entities(s, d), relations(s, d), 0.0, 1).select("keep_id", "drop_id")
+
+
+def dedup_block_parents(s, d):
+    """Pairs with a shared parent and other ones on both sides; parents by part_of and
+    child_of, since the hierarchies have one parent in each."""
+    rel = relations(s, d).where("relation_type IN ('child_of', 'part_of', 'subtype_of')").withColumn("relation_type", F.lit("child_of"))
+    rel = rel.groupBy("src_id", "dst_id", "relation_type").agg(F.max("strength").alias("strength"))
+    kids = rel.select("dst_id", "src_id")
+    pairs = kids.withColumnRenamed("src_id", "keep_id").join(kids.withColumnRenamed("src_id", "drop_id"), "dst_id").where("keep_id < drop_id").select("keep_id", "drop_id").distinct()
+    return R.different_parents(pairs, rel)
+
+
+def dedup_block_surname(s, d):
+    """For review: pairs of one surname that no common relation confirms, for the surnames of at least three entities."""
+    e = entities(s, d).where("entity_type = 'Person'")
+    frequent = R.named(e).groupBy(F.element_at("words", -1).alias("surname")).agg(F.count("*").alias("n")).where("n >= 3").select("surname")
+    return R.unconfirmed_surnames(e, relations(s, d), frequent)
+
+
+def trusted_parents(s, d):
+    return R.trusted_parents(relations(s, d)).groupBy("entity_id").agg(F.count("*").alias("n_parents"), F.min("parent_id").alias("first_parent"))
+
+
+def trusted_family(s, d):
+    return R.trusted_family(relations(s, d)).select("entity_id", "other_id", F.array_join("relation_types", "|").alias("relation_types"))
 
 
 def dedup_middle_drop(s, d):
@@ -117,7 +167,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         name_clean, jaro_winkler, dedup_exact, dedup_honorific, dedup_alias, dedup_subset, dedup_fuzzy, dedup_qualification, dedup_first_name, dedup_unique_surname, dedup_middle_drop, dedup_neighbour, dedup_embedding,
-        dedup_greedy, dedup_blocks, desc_divergence, normalize_name, stripped_key, strip_qualifications, name_validity, entity_ids, entity_embed_text, gender_inference,
+        dedup_greedy, dedup_blocks, dedup_bare_first_name, dedup_block_parents, dedup_block_surname, trusted_parents, trusted_family, desc_divergence, normalize_name, stripped_key, strip_qualifications, name_validity, entity_ids, entity_embed_text, gender_inference,
     )
 }
 
@@ -126,12 +176,19 @@ _KEY = lambda x: f"array_to_string([w FOR w IN string_split({norm(x)}, ' ') IF w
 _N = f"n AS (SELECT entity_id, entity_type, mention_count, name, {norm('name')} AS norm, string_split({norm('name')}, ' ') AS words, {_KEY('name')} AS key FROM entities WHERE name IS NOT NULL AND {norm('name')} <> '')"
 
 
+_MORE = "SELECT entity_id + {0} AS entity_id, entity_type, mention_count, description, {1} AS name FROM entities WHERE entity_id % {2} = 0 AND name IS NOT NULL"
+_ALL = "SELECT entity_id, entity_type, mention_count, description, name FROM entities"
+_DEGREES = f"more AS ({_ALL} UNION ALL {_MORE.format(1000000000, chr(39).join(['name || ', ' Ph.D. BA', '']), 5)})"
+_SPLIT = r"regexp_split_to_array(trim(name), '\s+')"
+_PARTS = f"more AS ({_ALL} UNION ALL {_MORE.format(1000000000, _SPLIT + '[1]', 3)} UNION ALL {_MORE.format(2000000000, _SPLIT + '[-1]', 3)})"
+
+
 def _group(keys: str, source: str) -> str:
     return f"""SELECT keep_id, entity_id AS drop_id FROM (SELECT g.*, first_value(entity_id) OVER (PARTITION BY {keys} ORDER BY mention_count DESC, entity_id) AS keep_id FROM {source} g) WHERE keep_id <> entity_id"""
 
 
 def _unique(token: str, least: int) -> str:
-    return f"""WITH {_N}, l AS (SELECT entity_type, words[{token}] AS w, min(entity_id) AS keep_id FROM n WHERE len(words) > 1 GROUP BY 1, 2 HAVING count(*) = 1)
+    return f"""WITH {_PARTS}, {_N.replace('FROM entities', 'FROM more')}, l AS (SELECT entity_type, words[{token}] AS w, min(entity_id) AS keep_id FROM n WHERE len(words) > 1 GROUP BY 1, 2 HAVING count(*) = 1)
 SELECT keep_id, n.entity_id AS drop_id FROM n JOIN l ON l.entity_type = n.entity_type AND l.w = n.norm WHERE len(words) = 1"""
 
 
@@ -149,7 +206,9 @@ ON l.entity_type = n.entity_type AND l.f = n.words[1] AND l.l = n.words[-1] WHER
 _CONTAIN = """nk AS (SELECT node_id, neighbour_id, entity_type FROM nb JOIN entities ON entity_id = node_id WHERE neighbour_id IN (SELECT neighbour_id FROM nb GROUP BY 1 HAVING count(*) <= 25)),
 sz AS (SELECT node_id, count(*) AS n FROM nk GROUP BY 1),
 sh AS (SELECT a.node_id AS keep_id, b.node_id AS drop_id, count(*) AS shared FROM nk a JOIN nk b ON a.neighbour_id = b.neighbour_id AND a.entity_type = b.entity_type AND a.node_id <> b.node_id GROUP BY 1, 2)"""
-_SIG = lambda x: f"list_distinct([w FOR w IN regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}]+') IF length(w) >= 4 AND w NOT IN {_LIST(S.COMMON_WORDS)}])"
+# Fixed values, written out for the SQL on purpose.
+_DESC_STOP = "'that', 'this', 'with', 'from', 'have', 'been', 'were', 'they', 'their', 'also', 'well', 'known', 'very', 'when', 'some', 'many', 'most', 'more', 'than', 'into', 'about', 'after', 'which', 'would', 'could', 'should', 'other', 'over'"
+_SIG = lambda x: f"list_distinct([w FOR w IN regexp_split_to_array(lower(coalesce({x}, '')), '[^\\p{{L}}]+') IF length(w) >= 4 AND w NOT IN ({_DESC_STOP})])"
 _ALPHA = r"length(regexp_replace(name, '[^\p{L}]', '', 'g'))"
 _PHRASES = " OR ".join(f"(contains(low, '{g}') AND length(low) <= {len(g) + 8})" for g in S.GENERIC_NAMES if " " in g)
 
@@ -166,11 +225,26 @@ SELECT DISTINCT keep_id, n.entity_id AS drop_id FROM a JOIN n ON n.entity_type =
 p AS (SELECT a.entity_id AS keep_id, b.entity_id AS drop_id FROM w a JOIN w b ON a.entity_type = b.entity_type AND a.entity_id <> b.entity_id WHERE len(b.lw) > 0 AND len(a.words) > len(b.words) AND list_has_all(a.lw, b.lw))
 SELECT DISTINCT keep_id, drop_id FROM p WHERE (SELECT count(*) FROM nb x JOIN nb y ON x.neighbour_id = y.neighbour_id WHERE x.node_id = keep_id AND y.node_id = drop_id) >= 1""",
     "dedup_fuzzy": f"WITH {_N} {_FUZZY}",
-    "dedup_qualification": f"""WITH {_N}, b AS (SELECT *, coalesce({_STRIP('name')}, norm) AS bare FROM n), c AS (SELECT * FROM b WHERE len(string_split(bare, ' ')) >= 2),
+    "dedup_qualification": f"""WITH {_DEGREES}, {_N.replace('FROM entities', 'FROM more')}, b AS (SELECT *, coalesce({_STRIP('name')}, norm) AS bare FROM n), c AS (SELECT * FROM b WHERE len(string_split(bare, ' ')) >= 2),
 x AS (SELECT c.* FROM c SEMI JOIN (SELECT bare, entity_type FROM c GROUP BY 1, 2 HAVING count(DISTINCT norm) > 1) USING (bare, entity_type)) """ + _group("bare, entity_type", "x"),
     "dedup_first_name": _unique("1", 2),
     "dedup_unique_surname": _unique("-1", 2),
     "dedup_middle_drop": f"WITH {_N} {_MIDDLE}",
+    "dedup_bare_first_name": f"""WITH {REL}, {_PARTS}, m AS (SELECT *, {_KEY('name')} AS key FROM more WHERE name IS NOT NULL), t AS (SELECT *, string_split(key, ' ') AS w FROM m WHERE key <> ''),
+l AS (SELECT w[1] AS first, min(entity_id) AS keep_id, min(entity_type) AS entity_type FROM t WHERE len(w) >= 2 GROUP BY 1 HAVING count(*) = 1)
+SELECT keep_id, t.entity_id AS drop_id FROM t JOIN l ON l.first = t.w[1] AND l.entity_type = t.entity_type
+WHERE len(t.w) = 1 AND length(t.w[1]) >= 3 AND (coalesce(t.description, '') = '' OR EXISTS (SELECT 1 FROM nb x JOIN nb y ON x.neighbour_id = y.neighbour_id WHERE x.node_id = keep_id AND y.node_id = t.entity_id))
+  AND NOT EXISTS (SELECT 1 FROM (SELECT {_SIG('a.description')} AS wa, {_SIG('b.description')} AS wb FROM more a, more b WHERE a.entity_id = keep_id AND b.entity_id = t.entity_id AND length(a.description) >= 100 AND length(b.description) >= 100) WHERE len(list_intersect(wa, wb)) / greatest(1, len(list_distinct(list_concat(wa, wb)))) < 0.12)""",
+    "dedup_block_parents": f"""WITH {REL}, c AS (SELECT src_id AS e, dst_id AS p FROM rel WHERE relation_type IN ('child_of', 'part_of', 'subtype_of') GROUP BY 1, 2 HAVING max(strength) >= 0.1),
+n AS (SELECT e, count(*) AS n FROM c GROUP BY 1), sh AS (SELECT a.e AS keep_id, b.e AS drop_id, count(*) AS k FROM c a JOIN c b USING (p) WHERE a.e < b.e GROUP BY 1, 2)
+SELECT keep_id, drop_id FROM sh JOIN n a ON a.e = keep_id JOIN n b ON b.e = drop_id WHERE k < a.n AND k < b.n""",
+    "dedup_block_surname": f"""WITH {REL}, {_N}, p AS (SELECT entity_id, words[-1] AS surname FROM n WHERE entity_type = 'Person'), f AS (SELECT surname FROM p GROUP BY 1 HAVING count(*) >= 3),
+fam AS (SELECT DISTINCT node_id, neighbour_id, relation_type FROM adj WHERE relation_type IN ('spouse_of', 'sibling_of', 'half_sibling_of', 'cousin_of') AND strength >= 0.1)
+SELECT a.entity_id AS keep_id, b.entity_id AS drop_id FROM p a JOIN p b ON a.surname = b.surname AND a.entity_id < b.entity_id SEMI JOIN f ON f.surname = a.surname
+WHERE NOT EXISTS (SELECT 1 FROM fam x JOIN fam y ON x.neighbour_id = y.neighbour_id AND x.relation_type = y.relation_type WHERE x.node_id = a.entity_id AND y.node_id = b.entity_id)""",
+    "trusted_parents": f"WITH {REL} SELECT src_id AS entity_id, count(*) AS n_parents, min(dst_id) AS first_parent FROM rel WHERE relation_type = 'child_of' AND strength >= 0.1 GROUP BY 1",
+    "trusted_family": f"""WITH {REL}, f AS (SELECT DISTINCT node_id, neighbour_id, relation_type FROM adj WHERE relation_type IN ('spouse_of', 'sibling_of', 'half_sibling_of', 'cousin_of') AND strength >= 0.1)
+SELECT node_id AS entity_id, neighbour_id AS other_id, string_agg(relation_type, '|' ORDER BY relation_type) AS relation_types FROM f GROUP BY 1, 2""",
     "dedup_neighbour": f"WITH {REL}, {_CONTAIN} SELECT keep_id, drop_id, shared, round(shared / n, 6) AS share FROM sh JOIN sz ON node_id = drop_id WHERE shared >= 2 AND shared / n >= 0.3",
     "dedup_blocks": f"""WITH {REL}, {_CONTAIN}, p AS (SELECT keep_id, drop_id FROM sh JOIN sz ON node_id = drop_id WHERE shared / n >= 0.1)
 SELECT DISTINCT keep_id, drop_id FROM (SELECT keep_id, drop_id, x.relation_type AS ra, y.relation_type AS rb FROM p JOIN rel x ON x.src_id = keep_id JOIN rel y ON y.src_id = drop_id AND y.dst_id = x.dst_id) WHERE {_CONTRA}""",

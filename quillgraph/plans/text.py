@@ -12,7 +12,7 @@ from quillgraph.common import table
 from quillgraph.functions import scalar as S
 from quillgraph.operators import extraction as X
 from quillgraph.operators import text as T
-from quillgraph.plans.base import CHUNK, chunk_docs, chunks, entities, mentions
+from quillgraph.plans.base import CHUNK, MEN, chunk_docs, chunks, entities, mentions
 from quillgraph.sources import stores
 from quillgraph.streaming.ingest import replay
 
@@ -50,7 +50,7 @@ def section_match(s, d):
     return T.match_sections(heads.withColumnRenamed("chunk_id", "id"), _sections(s))
 
 
-_HEADED = "concat(text, chr(10), 'By Jane Q. Doe', chr(10), '© ', cast(1900 + doc_id % 150 as string), ' Copyright', chr(10), 'Published by House ', cast(doc_id % 7 as string), ', Town', chr(10), 'ISBN 97-', cast(10000000000 + doc_id as string))"
+_HEADED = "concat(text, chr(10), 'By Jane Q. Doe', chr(10), '© Town Press, ', cast(1900 + doc_id % 150 as string), ' Copyright', chr(10), 'Published by House ', cast(doc_id % 7 as string), ', Town', chr(10), 'ISBN 97-', cast(10000000000 + doc_id as string))"
 
 
 def schema_autodetect(s, d):
@@ -100,7 +100,7 @@ def relation_regex(s, d):
 
 def definite_descriptions(s, d):
     """Of persons, places and groups, among the entities that a chunk, or any chunk
-    of a document's name, mentions. Its SQL still appends the groups' words to one name."""
+    of a document's name, mentions."""
     seen = mentions(s, d).join(entities(s, d).where("name IS NOT NULL").select("entity_id", "name", "aliases", "entity_type"), "entity_id")
     docs = chunk_docs(s, d).select("chunk_id", F.col("doc_id").alias("doc_name")).join(table(s, d, "documents").select("doc_name", "doc_id"), "doc_name")
     sources = {
@@ -223,20 +223,27 @@ p AS (SELECT id, trim(regexp_replace(line, ',\s*[0-9ivxlcIVXLC, \-–]+$', ''))
 s AS (SELECT *, regexp_extract(part, '^(\p{{Lu}}\S*),\s*(\p{{Lu}}.*)$', 1) AS last, regexp_extract(part, '^(\p{{Lu}}\S*),\s*(\p{{Lu}}.*)$', 2) AS rest, regexp_split_to_array(part, '\s+') AS w FROM p WHERE length(part) >= 2)
 SELECT id, trim(CASE WHEN last <> '' THEN rest || ' ' || last ELSE part END) AS name, CASE WHEN last <> '' THEN 'Person' WHEN {_ORGW} OR (contains(part, '(') AND contains(part, ')')) THEN 'Organization'
   WHEN len(w) BETWEEN 2 AND 4 AND len([x FOR x IN w IF NOT regexp_matches(x, '^\p{{Lu}}')]) = 0 AND len([x FOR x IN regexp_split_to_array(lower(part), '\s+') IF x IN ({_PLCW})]) = 0 THEN 'Person' END AS type_hint FROM s""",
-    "schema_autodetect": r"""WITH t AS (SELECT doc_id, substring(text || chr(10) || 'By Jane Q. Doe' || chr(10) || '© ' || CAST(1900 + doc_id % 150 AS VARCHAR) || ' Copyright' || chr(10) || 'Published by House ' || CAST(doc_id % 7 AS VARCHAR) || ', Town' || chr(10) || 'ISBN 97-' || CAST(10000000000 + doc_id AS VARCHAR), 1, 3000) AS t FROM documents WHERE text IS NOT NULL),
+    "schema_autodetect": r"""WITH t AS (SELECT doc_id, substring(text || chr(10) || 'By Jane Q. Doe' || chr(10) || '© Town Press, ' || CAST(1900 + doc_id % 150 AS VARCHAR) || ' Copyright' || chr(10) || 'Published by House ' || CAST(doc_id % 7 AS VARCHAR) || ', Town' || chr(10) || 'ISBN 97-' || CAST(10000000000 + doc_id AS VARCHAR), 1, 3000) AS t FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, string_split(t, chr(10)) AS ls FROM t),
 x AS (SELECT doc_id,
   [d FOR d IN [regexp_replace(y, '[^0-9X]', '', 'g') FOR y IN ls IF contains(y, 'ISBN')] IF length(d) IN (10, 13)][1] AS isbn,
   [d FOR d IN [trim(regexp_extract(y, '(?i)published by\s*([^,.]*)', 1)) FOR y IN ls IF contains(lower(y), 'published by')] IF length(d) > 0 AND length(d) < 80][1] AS publisher,
   [d FOR d IN [regexp_extract(y, '(1[89][0-9]{2}|20[0-9]{2}|2100)', 1) FOR y IN ls IF contains(lower(y), 'copyright') OR contains(y, '©')] IF d <> ''][1] AS year,
+  [d FOR d IN [trim(regexp_replace(trim(regexp_extract(y, '©\s*(?:opyright)?\s*([^0-9]*)', 1)), ',+$', '')) FOR y IN ls IF contains(y, '©')] IF length(d) > 2][1] AS copyright_holder,
   [d FOR d IN [trim(substring(trim(y), 4, 200)) FOR y IN ls IF starts_with(trim(y), 'By ')] IF regexp_matches(d, '^\p{Lu}') AND len(regexp_split_to_array(d, '\s+')) BETWEEN 2 AND 5][1] AS author FROM l)
-SELECT doc_id, CASE WHEN isbn IS NOT NULL THEN 'Book' END AS schema_type, isbn, publisher, year, author FROM x""",
+SELECT doc_id, CASE WHEN isbn IS NOT NULL THEN 'Book' END AS schema_type, isbn, publisher, year, year AS copyright_year, year AS date_published, copyright_holder, author FROM x""",
     "relation_regex": f"""WITH r AS ({_RELS}),
 n AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS name FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, src, dst, relation_type, round(CAST(confidence AS DOUBLE), 2) AS confidence FROM r SEMI JOIN n a ON a.doc_id = r.doc_id AND a.name = r.src SEMI JOIN n b ON b.doc_id = r.doc_id AND b.name = r.dst WHERE src <> dst""",
-    "definite_descriptions": f"""WITH w(w) AS (VALUES {', '.join(f"('{w}')" for w in X.GROUPS)}), m AS (SELECT min(name) AS name FROM entities WHERE entity_type = 'Organization'),
-c AS (SELECT name || ' ' || w AS name FROM w, m), cw AS (SELECT DISTINCT name, unnest(regexp_split_to_array(lower(name), '[^\\p{{L}}]+')) AS word FROM c)
-SELECT doc_id, 'the ' || w AS surface, CAST(instr(lower(text), 'the ' || w) - 1 AS INTEGER) AS offset, min(cw.name) AS entity_name FROM documents CROSS JOIN w JOIN cw ON cw.word = w.w WHERE text IS NOT NULL AND contains(lower(text), 'the ' || w) GROUP BY 1, 2, 3""",
+    "definite_descriptions": f"""WITH {MEN}, {CHUNK}, seen AS (SELECT chunk_id, name, coalesce(aliases, []) AS aliases, entity_type FROM men JOIN entities USING (entity_id) WHERE name IS NOT NULL),
+texts AS (SELECT 'documents' AS source, doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'chunks', chunk_id, lower(text) FROM one WHERE text IS NOT NULL),
+cand AS (SELECT 'documents' AS source, d.doc_id, seen.* EXCLUDE (chunk_id) FROM seen JOIN cd ON cd.chunk_id = seen.chunk_id JOIN documents d ON d.doc_name = cd.doc_id UNION ALL SELECT 'chunks', chunk_id, name, aliases, entity_type FROM seen),
+kin(surface, word) AS (VALUES {', '.join(f"('{a}', '{b}')" for a, b in X.KINSHIP)}),
+surf AS (SELECT 'Person' AS entity_type, surface, word FROM kin UNION ALL SELECT 'Location', 'the ' || w, w FROM (VALUES {', '.join(f"('{w}')" for w in X.PLACES)}) t(w) UNION ALL SELECT 'Organization', 'the ' || w, w FROM (VALUES {', '.join(f"('{w}')" for w in X.GROUPS)}) t(w)),
+words AS (SELECT DISTINCT source, doc_id, entity_type, name, lower(unnest(aliases)) AS word FROM cand WHERE entity_type = 'Person'
+  UNION SELECT DISTINCT source, doc_id, entity_type, name, unnest(regexp_split_to_array(lower(array_to_string(list_concat([name], aliases), ' ')), '[^\\p{{L}}]+')) FROM cand WHERE entity_type IN ('Location', 'Organization'))
+SELECT t.source, t.doc_id, s.entity_type, s.surface, CAST(instr(low, s.surface) - 1 AS INTEGER) AS offset, min(w.name) AS entity_name
+FROM texts t JOIN surf s ON contains(low, s.surface) JOIN words w ON w.source = t.source AND w.doc_id = t.doc_id AND w.entity_type = s.entity_type AND w.word = s.word GROUP BY 1, 2, 3, 4, 5""",
     "refine_budget": "SELECT entity_id, confidence FROM entities WHERE confidence < 0.5 ORDER BY confidence, entity_id LIMIT 50",
     "token_statistics": r"WITH t AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(lower(text), '\s+') IF x <> ''] AS t FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, CAST(len(list_distinct(t)) AS INTEGER) AS n_terms FROM t",
     "vector_upsert": """WITH v AS (SELECT chunk_id, embedding, row_number() OVER (PARTITION BY chunk_id ORDER BY embedded_at DESC) AS r FROM vectors WHERE len(embedding) = 48)
