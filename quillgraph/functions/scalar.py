@@ -177,3 +177,74 @@ def is_valid_entity(name: Column, kind: Column, score: Column) -> Column:
     fine = (score >= least) & F.length(name).between(2, 80) & (alpha >= 2) & (alpha / F.length(name) >= 0.45)
     blocked = low.isin(GENERIC_NAMES + COMMON_WORDS) | near_blocked | bad_person | bad_place | bad_work | domain | F.contains(name, F.lit("@"))
     return F.coalesce(fine & ~blocked, F.lit(False))
+
+
+# Labels of span models and the types they stand for.
+LABEL_TYPES = {
+    "person": "Person", "organization": "Organization", "org": "Organization", "location": "Location", "gpe": "Location", "loc": "Location",
+    "product": "Product", "event": "Event", "work": "Work", "work of art": "Work", "facility": "Facility", "fac": "Facility", "date": "Date",
+}
+TAGGER_TYPES = {"PERSON": "Person", "ORG": "Organization", "GPE": "Location", "LOC": "Location", "PRODUCT": "Product", "EVENT": "Event", "FAC": "Facility", "WORK_OF_ART": "Work", "DATE": "Date"}
+
+# Prefixes of texts for the embedding model.
+QUERY_PREFIX, DOCUMENT_PREFIX = "search_query: ", "search_document: "
+
+
+def map_label(label: Column) -> Column:
+    """The type that a span label stands for; another label in title case."""
+    low = F.lower(F.trim(label))
+    out = F.initcap(F.lower(label))
+    for name, kind in LABEL_TYPES.items():
+        out = F.when(low == name, kind).otherwise(out)
+    return out
+
+
+def map_tag(label: Column) -> Column:
+    """The type that a tagger's label stands for; null for the others."""
+    out = F.lit(None).cast("string")
+    for name, kind in TAGGER_TYPES.items():
+        out = F.when(label == name, kind).otherwise(out)
+    return out
+
+
+def normalize_entity_name(name: Column) -> Column:
+    """One blank for several, no quotes and brackets around, no ``;,:`` at the end."""
+    plain = F.trim(F.regexp_replace(F.translate(name, "\u00a0", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.btrim(plain, F.lit("\"'`“”‘’[](){}<>|")), "[;,:]+$", ""))
+
+
+def description_from_fields(name: Column, kind: Column, values: Column) -> Column:
+    """``Name — key: value; ...`` of the expected fields of a type that a map of
+    values fills with something said; else the empty string."""
+    out = F.lit("")
+    for entity_type, fields in EXPECTED_FIELDS.items():
+        said = [F.when((F.coalesce(v, F.lit("")) != "") & ~F.lower(F.trim(v)).isin(PLACEHOLDERS), F.concat(F.lit(f"{k}: "), v)) for k in fields for v in [F.try_element_at(values, F.lit(k))]]
+        text = F.concat_ws("; ", *said)
+        out = F.when(kind == entity_type, F.when(text != "", F.concat(name, F.lit(" — "), text)).otherwise("")).otherwise(out)
+    return F.coalesce(out, F.lit(""))
+
+
+def parse_timestamp(text: Column) -> Column:
+    """An ISO time, also with ``Z``, as a timestamp; null if it is none."""
+    return F.try_to_timestamp(text)
+
+
+def query_text(text: Column) -> Column:
+    return F.concat(F.lit(QUERY_PREFIX), text)
+
+
+def document_text(text: Column) -> Column:
+    return F.concat(F.lit(DOCUMENT_PREFIX), text)
+
+
+def context_line(title: Column, author: Column, year: Column, isbn: Column, publisher: Column, subject: Column) -> Column:
+    """One line about a document for a prompt; null if nothing is known of it."""
+    given = lambda c: F.coalesce(c, F.lit("")) != ""
+    head = F.concat(F.lit('"'), F.when(given(title), title).otherwise("(untitled document)"), F.lit('"'))
+    parts = [
+        F.when(given(author), F.concat(head, F.lit(" by "), author)).otherwise(head),
+        F.when(given(year), F.concat(F.lit("("), year, F.lit(")"))),
+        *(F.when(given(c), F.concat(F.lit(f"{label}: "), c)) for label, c in (("ISBN", isbn), ("Publisher", publisher), ("Subject", subject))),
+    ]
+    known = given(title) | given(author) | given(year) | given(isbn) | given(publisher) | given(subject)
+    return F.when(known, F.concat_ws(" ", *parts))

@@ -105,3 +105,33 @@ def core_fact_inputs(nodes: DataFrame, entities: DataFrame, relations: DataFrame
     out = out.join(names.toDF("other", "other_name"), "other").withColumn("r", F.row_number().over(Window.partitionBy("entity_id").orderBy("relation_type", "other"))).where(F.col("r") <= most)
     facts = out.groupBy("entity_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "relation_type", "other_name").alias("t")))), lambda x: x["t"]), "; ").alias("facts"))
     return top.join(names, "entity_id").join(facts, "entity_id")
+
+
+def forgetting_curves(days: list[int], counts: tuple[int, ...] = (1, 3, 10, 50)) -> list[tuple[int, int]]:
+    """(reinforcement, day) pairs of the classic curves."""
+    return [(r, d) for r in counts for d in days]
+
+
+def curve_table(spark, days: list[int], counts: tuple[int, ...] = (1, 3, 10, 50)) -> DataFrame:
+    """``(reinforcement, day, strength)`` of the classic curves."""
+    rows = spark.createDataFrame(forgetting_curves(days, counts), "reinforcement int, day int")
+    return rows.select("reinforcement", "day", F.round(strength(F.col("reinforcement"), F.col("day").cast("double")), 4).alias("strength"))
+
+
+def mention_histogram(entities: DataFrame) -> DataFrame:
+    """``(reinforcement, n)``: how many entities are mentioned how often, at least once."""
+    return entities.select(F.greatest(F.lit(1).cast("bigint"), F.coalesce("mention_count", F.lit(1))).alias("reinforcement")).groupBy("reinforcement").agg(F.count("*").alias("n"))
+
+
+def forgetting_examples(entities: DataFrame, counts: tuple[int, ...] = (1, 2, 3, 5, 10, 12), top: int = 8, longest: int = 365) -> DataFrame:
+    """``(kind, place, name, reinforcement, day30, day90, day365, state_day90, state_day365)``:
+    the first entity (smallest id) of each of ``counts``, and the ``top`` most reinforced, by name."""
+    rows = entities.select("entity_id", "name", F.greatest(F.lit(1).cast("bigint"), F.coalesce("mention_count", F.lit(1))).alias("reinforcement"))
+    first = rows.where(F.col("reinforcement").isin(*counts)).groupBy("reinforcement").agg(F.min_by("name", "entity_id").alias("name"), F.min("entity_id").alias("entity_id"))
+    first = first.select(F.lit("example").alias("kind"), "reinforcement", "name", "entity_id")
+    most = rows.orderBy(F.desc("reinforcement"), F.coalesce("name", F.lit("")), "entity_id").limit(top).select(F.lit("most").alias("kind"), "reinforcement", "name", "entity_id")
+    at = lambda d: strength(F.col("reinforcement"), F.lit(float(d)))
+    return first.unionByName(most).select(
+        "kind", "entity_id", "name", "reinforcement", F.round(at(30), 3).alias("day30"), F.round(at(90), 3).alias("day90"), F.round(at(longest), 3).alias("day365"),
+        memory_state(at(90)).alias("state_day90"), memory_state(at(longest)).alias("state_day365"),
+    )

@@ -213,3 +213,68 @@ def paragraph_chunks(docs: DataFrame, size: int = 800, overlap: int = 200, least
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, chunk_index int, text string, surrounding string, section_name string, section_type string, skip_extraction boolean")
+
+
+def pack_units(units: list[str], size: int, overlap: int) -> list[str]:
+    """Units packed up to ``size`` characters, each pack after the first begun with the
+    last ``overlap`` characters of the one before."""
+    packs: list[str] = []
+    parts: list[str] = []
+    for unit in units:
+        if parts and sum(map(len, parts)) + len(parts) + len(unit) > size:
+            packs.append("\n".join(parts))
+            tail = packs[-1][max(0, len(packs[-1]) - overlap) :]
+            parts = [tail] if tail and overlap else []
+        parts.append(unit)
+    return packs + (["\n".join(parts)] if parts else [])
+
+
+def extraction_pieces(text: str, most: int = 3000) -> list[str]:
+    """Paragraphs packed into pieces of at most ``most`` characters for an extractor;
+    a longer paragraph is cut hard."""
+    if len(text) <= most:
+        return [text]
+    packs: list[str] = []
+    for part in filter(str.strip, re.split(r"\n\s*\n", text)):
+        if packs and len(packs[-1]) + len(part) + 2 <= most:
+            packs[-1] += f"\n\n{part}"
+        else:
+            packs.append(part)
+    return [p[i : i + most] for p in packs for i in range(0, len(p), most)] or [text]
+
+
+def extraction_chunks(docs: DataFrame, most: int = 3000) -> DataFrame:
+    """``(doc_id, pos, text)``: :func:`extraction_pieces` of every text."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            rows = [(doc, i, piece) for doc, text in zip(pdf["doc_id"], pdf["text"]) if isinstance(text, str) for i, piece in enumerate(extraction_pieces(text, most))]
+            yield pd.DataFrame(rows, columns=["doc_id", "pos", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id bigint, pos int, text string")
+
+
+def document_prefix(chunks: DataFrame, prefixes: DataFrame, most: int = 10_000) -> DataFrame:
+    """``chunks`` with the text of the first of ``prefixes`` (ord, key, prefix) whose key
+    the document's name contains (apart from case) and a blank line before theirs. The
+    list is counted, and more than ``most`` fail instead of being cut."""
+    if (n := prefixes.count()) > most:
+        raise ValueError(f"{n} prefixes, at most {most} are compared with every document")
+    names = chunks.select("doc_name").distinct()
+    hit = F.contains(F.lower("doc_name"), F.lower("key"))
+    found = names.join(F.broadcast(prefixes), hit).groupBy("doc_name").agg(F.min_by("prefix", "ord").alias("__prefix"))
+    rows = chunks.join(found, "doc_name", "left")
+    text = F.when(F.coalesce("__prefix", F.lit("")) != "", F.concat("__prefix", F.lit("\n\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text"))
+    return rows.withColumn("text", text).select(chunks.columns)
+
+
+def for_extraction(chunks: DataFrame) -> DataFrame:
+    """Without the chunks that are marked to be skipped; an unmarked one stays."""
+    return chunks.where(~F.coalesce("skip_extraction", F.lit(False)))
+
+
+def of_types(entities: DataFrame, types: list[str]) -> DataFrame:
+    """Entities of the given types, apart from case; an empty list is all."""
+    return entities.where(F.lower("entity_type").isin([t.lower() for t in types])) if types else entities

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from quillgraph.plans import graph, memory, problems, resolution, retrieval, text
+from quillgraph.plans import extract, graph, memory, problems, resolution, retrieval, text
 
-_MODULES = [problems, retrieval, graph, resolution, memory, text]
+_MODULES = [problems, retrieval, graph, resolution, memory, text, extract]
 
 
 def queries() -> dict[str, Callable]:

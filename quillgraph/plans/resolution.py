@@ -68,9 +68,9 @@ def _close_pairs(s, d):
 
 
 def dedup_block_parents(s, d):
-    """Pairs with a shared parent and other ones on both sides; parents by part_of and
-    child_of, since the hierarchies have one parent in each."""
-    rel = relations(s, d).where("relation_type IN ('child_of', 'part_of', 'subtype_of')").withColumn("relation_type", F.lit("child_of"))
+    """Pairs with a shared parent and other ones on both sides; employers stand for
+    parents, since the hierarchies have one parent in each."""
+    rel = relations(s, d).where("relation_type = 'works_at'").withColumn("relation_type", F.lit("child_of"))
     rel = rel.groupBy("src_id", "dst_id", "relation_type").agg(F.max("strength").alias("strength"))
     kids = rel.select("dst_id", "src_id")
     pairs = kids.withColumnRenamed("src_id", "keep_id").join(kids.withColumnRenamed("src_id", "drop_id"), "dst_id").where("keep_id < drop_id").select("keep_id", "drop_id").distinct()
@@ -235,7 +235,7 @@ l AS (SELECT w[1] AS first, min(entity_id) AS keep_id, min(entity_type) AS entit
 SELECT keep_id, t.entity_id AS drop_id FROM t JOIN l ON l.first = t.w[1] AND l.entity_type = t.entity_type
 WHERE len(t.w) = 1 AND length(t.w[1]) >= 3 AND (coalesce(t.description, '') = '' OR EXISTS (SELECT 1 FROM nb x JOIN nb y ON x.neighbour_id = y.neighbour_id WHERE x.node_id = keep_id AND y.node_id = t.entity_id))
   AND NOT EXISTS (SELECT 1 FROM (SELECT {_SIG('a.description')} AS wa, {_SIG('b.description')} AS wb FROM more a, more b WHERE a.entity_id = keep_id AND b.entity_id = t.entity_id AND length(a.description) >= 100 AND length(b.description) >= 100) WHERE len(list_intersect(wa, wb)) / greatest(1, len(list_distinct(list_concat(wa, wb)))) < 0.12)""",
-    "dedup_block_parents": f"""WITH {REL}, c AS (SELECT src_id AS e, dst_id AS p FROM rel WHERE relation_type IN ('child_of', 'part_of', 'subtype_of') GROUP BY 1, 2 HAVING max(strength) >= 0.1),
+    "dedup_block_parents": f"""WITH {REL}, c AS (SELECT src_id AS e, dst_id AS p FROM rel WHERE relation_type = 'works_at' GROUP BY 1, 2 HAVING max(strength) >= 0.1),
 n AS (SELECT e, count(*) AS n FROM c GROUP BY 1), sh AS (SELECT a.e AS keep_id, b.e AS drop_id, count(*) AS k FROM c a JOIN c b USING (p) WHERE a.e < b.e GROUP BY 1, 2)
 SELECT keep_id, drop_id FROM sh JOIN n a ON a.e = keep_id JOIN n b ON b.e = drop_id WHERE k < a.n AND k < b.n""",
     "dedup_block_surname": f"""WITH {REL}, {_N}, p AS (SELECT entity_id, words[-1] AS surname FROM n WHERE entity_type = 'Person'), f AS (SELECT surname FROM p GROUP BY 1 HAVING count(*) >= 3),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillgraph.operators.text import strip_html, strip_vtt
 
 # File endings that are read.
-ENDINGS = ["txt", "md", "rst", "csv", "json", "yaml", "yml", "toml", "html", "htm", "vtt", "docx", "pdf"]
+ENDINGS = ["txt", "md", "rst", "csv", "json", "yaml", "yml", "toml", "html", "htm", "vtt", "docx", "pdf", "doc"]
 
 
 def list_files(spark: SparkSession, path: str, endings: list[str] = ENDINGS) -> DataFrame:
@@ -59,14 +59,33 @@ def pdf_text(content: bytes) -> str | None:
     return repair_underscores(extract_text(io.BytesIO(content)))
 
 
+class UnreadableFormat(ValueError):
+    """A format that no reader on the executors knows, such as the old binary .doc."""
+
+
 def read_documents(files: DataFrame) -> DataFrame:
-    """``(doc_name, text)``: plain text in the JVM, only .docx and .pdf in Python.
-    A file that cannot be read has a null text."""
+    """``(doc_name, text)``: :func:`read_with_errors` without the errors."""
+    return read_with_errors(files).select("doc_name", "text")
+
+
+def _binary_text(name: str, content: bytes) -> str:
+    low = name.lower()
+    if low.endswith(".doc"):
+        raise UnreadableFormat("old binary .doc files have to be converted first")
+    text = ooxml_text(content) if low.endswith("docx") else pdf_text(content)
+    if text is None:
+        raise UnreadableFormat("PDF files need the pdfminer library")
+    return text
+
+
+def read_with_errors(files: DataFrame) -> DataFrame:
+    """``(doc_name, text, error)``: plain text in the JVM, only .docx, .pdf and .doc in
+    Python. A file that cannot be read has a null text and says why."""
     ending = F.lower(F.element_at(F.split("doc_name", r"\."), -1))
-    binary = ending.isin("docx", "pdf")
+    binary = ending.isin("docx", "pdf", "doc")
     raw = F.decode("content", "utf-8")
     text = F.when(ending.isin("html", "htm"), strip_html(raw)).when(ending == "vtt", strip_vtt(raw)).otherwise(raw)
-    plain = files.where(~binary).select("doc_name", text.alias("text"))
+    plain = files.where(~binary).select("doc_name", text.alias("text"), F.lit(None).cast("string").alias("error"))
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -75,12 +94,12 @@ def read_documents(files: DataFrame) -> DataFrame:
             out = []
             for name, content in zip(pdf["doc_name"], pdf["content"]):
                 try:
-                    out.append((name, ooxml_text(content) if name.lower().endswith("docx") else pdf_text(content)))
-                except Exception:
-                    out.append((name, None))
-            yield pd.DataFrame(out, columns=["doc_name", "text"])
+                    out.append((name, _binary_text(name, content), None))
+                except Exception as error:
+                    out.append((name, None, f"{type(error).__name__}: {error}"))
+            yield pd.DataFrame(out, columns=["doc_name", "text", "error"])
 
-    return plain.unionByName(files.where(binary).select("doc_name", "content").mapInPandas(run, "doc_name string, text string"))
+    return plain.unionByName(files.where(binary).select("doc_name", "content").mapInPandas(run, "doc_name string, text string, error string"))
 
 
 def load_corpus_schema(path: str, defaults: dict) -> dict:
@@ -102,8 +121,22 @@ def load_corpus(spark: SparkSession, path: str, longest: int | None = None) -> D
 
 def load_questions(spark: SparkSession, path: str) -> DataFrame:
     """``(query_id, topic, question, answer)`` of CSV files with a header, named by
-    topic, the question in the first column and the answer in the second."""
-    rows = spark.read.option("header", "true").option("multiLine", "true").schema("question string, answer string").csv(path)
-    topic = F.regexp_replace(F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1), "_", " ")
-    rows = rows.where(F.trim("question") != "").select(topic.alias("topic"), "question", "answer")
-    return rows.withColumn("query_id", F.concat(F.col("topic"), F.lit("|"), F.md5("question")))
+    topic, the question in the first column and the answer in the second. A query's id
+    is ``topic|q`` and the number of its row in the file, the header being row 1."""
+    import csv
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path).select("path", F.decode("content", "utf-8").alias("text"))
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for name, text in zip(pdf["path"], pdf["text"]):
+                topic = name.rpartition("/")[2].removesuffix(".csv").replace("_", " ")
+                for i, row in enumerate(csv.reader(io.StringIO(text, newline="")), 1):
+                    if i > 1 and row and row[0].strip():
+                        out.append((f"{topic}|q{i}", topic, row[0], row[1] if len(row) > 1 and row[1] else None))
+            yield pd.DataFrame(out, columns=["query_id", "topic", "question", "answer"])
+
+    return files.mapInPandas(run, "query_id string, topic string, question string, answer string")

@@ -36,6 +36,19 @@ def delete_documents(chunks: DataFrame, names: DataFrame) -> DataFrame:
     return chunks.join(names, "doc_name", "left_anti")
 
 
+def deleted_ids(chunks: DataFrame, names: DataFrame) -> DataFrame:
+    """``(doc_name, chunk_id)`` of what :func:`delete_documents` takes away; an unknown name has none."""
+    return chunks.join(names, "doc_name", "left_semi").select("doc_name", "chunk_id").distinct()
+
+
+def file_states(states: DataFrame, put: DataFrame | None = None, delete: DataFrame | None = None) -> DataFrame:
+    """The table of known files (doc_name, mtime_secs, file_size) after some were put and
+    others deleted (doc_name); a file in both is put."""
+    if delete is not None:
+        states = states.join(delete.select("doc_name").distinct(), "doc_name", "left_anti")
+    return states if put is None else upsert(states, put.select(states.columns), ["doc_name"])
+
+
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files (doc_name, mtime_secs, file_size) that are new or differ from ``known``."""
     k = known.select("doc_name", F.col("mtime_secs").alias("old_mtime"), F.col("file_size").alias("old_size"))
