@@ -12,9 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillgraph.common import tasks
 from quillgraph.functions.scalar import bm25_idf, cosine, dcg_gain, tokens
 
 
+#: Terms of queries that may be broadcast (some 50 bytes each) after they were counted.
+BROADCAST_TERMS = 500_000
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
     """The k best documents of each query; Spark prunes each partition to k first."""
     best = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, 6)), "doc_id")
@@ -24,19 +29,36 @@ def top_k(scored: DataFrame, k: int, score: str = "score") -> DataFrame:
 def bm25_scores(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """``(query_id, doc_id, score)`` of every document that has a term of the query.
 
-    ``docs``: doc_id, text; ``queries``: query_id, text. Only postings of query
-    terms are shuffled: the document's length is taken before they are filtered.
-    A term repeated in a query counts repeatedly. Null texts have no terms.
+    ``docs``: doc_id, text; ``queries``: query_id, text. Words that no query has leave
+    the plan before anything is shuffled; the postings are shuffled once, by document,
+    and stay there until the best of each query are chosen. The queries' terms are
+    counted and broadcast up to :data:`BROADCAST_TERMS`, beyond joined by a shuffle. A
+    term repeated in a query counts repeatedly. Null texts have no terms; documents
+    without a term of the query have no row (the reference fills its top k with them,
+    at score 0; :func:`with_zero_scores` does).
     """
     terms = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    small = terms.count() <= BROADCAST_TERMS
+    near = F.broadcast if small else (lambda df: df)
     sized = docs.select("doc_id", tokens(F.coalesce("text", F.lit(""))).alias("t")).withColumn("len", F.size("t"))
     totals = sized.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    postings = sized.select("doc_id", "len", F.explode("t").alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
-    postings = postings.groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
+    found = sized.select("doc_id", "len", F.explode("t").alias("term")).join(near(terms.select("term").distinct()), "term", "left_semi")
+    # few bytes, but many scores: the number of partitions is stated, so they stay apart
+    parts = max(tasks(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism)
+    postings = found.repartition(parts, "doc_id").groupBy("doc_id", "len", "term").agg(F.count("*").alias("tf"))
     frequency = postings.groupBy("term").agg(F.count("*").alias("df"))
     weight = bm25_idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    weighted = postings.join(frequency, "term").crossJoin(totals).select("doc_id", "term", weight.alias("w"))
-    return weighted.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+    weighted = postings.join(near(frequency), "term").crossJoin(F.broadcast(totals)).select("doc_id", "term", weight.alias("w"))
+    return weighted.join(near(terms), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qtf")).alias("score"))
+
+
+def with_zero_scores(run: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """A run of the k best (query_id, doc_id, score, rank) filled up to k with the documents
+    of the smallest ids that it does not have, at score 0."""
+    first = docs.select("doc_id").orderBy("doc_id").limit(2 * k)
+    every = queries.select("query_id").distinct().crossJoin(F.broadcast(first)).withColumn("score", F.lit(0.0))
+    more = every.join(run.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    return top_k(run.select("query_id", "doc_id", "score").unionByName(more.select("query_id", "doc_id", "score")), k)
 
 
 def bm25_idf_table(docs: DataFrame) -> DataFrame:
@@ -49,7 +71,8 @@ def bm25_idf_table(docs: DataFrame) -> DataFrame:
 def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Exact cosine search: ``vectors`` (doc_id, embedding) for ``queries`` (query_id, embedding).
 
-    A stated query set, counted before it is broadcast in blocks; each partition
+    A stated query set: it is counted, and split by a hash into blocks of about 4,096,
+    one of which at a time is fetched and broadcast; each partition
     of vectors keeps its best k of every query (an Arrow step), so k rows a
     query and partition are shuffled, not all scores. Vectors without a norm or
     of another length have cosine 0 and are skipped.
@@ -58,13 +81,14 @@ def vector_top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     spark = vectors.sparkSession
     out = None
-    named = [(r.query_id, r.embedding) for r in queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding").collect()]
-    by_size: dict[int, list] = {}
-    for name, vector in named:
-        by_size.setdefault(len(vector), []).append((name, vector))
-    for dim, members in by_size.items():
-        for first in range(0, len(members), 4096):
-            block = members[first : first + 4096]
+    asked = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    blocks = max(1, -(-asked.count() // 4096))
+    for number in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number)
+        by_size: dict[int, list] = {}
+        for r in part.collect():
+            by_size.setdefault(len(r.embedding), []).append((r.query_id, r.embedding))
+        for dim, block in by_size.items():
             matrix = np.array([v for _, v in block], dtype=np.float64)
             norms = np.linalg.norm(matrix, axis=1)
             keep = norms > 0
