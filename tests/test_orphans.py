@@ -49,3 +49,16 @@ def test_cyclic_keys_end_and_empty_tables(spark):
     found = orphan_cascade(tables(spark, rows, []), REFS, {"parents": "parent"})
     assert {(r.record_id, r.target_id, r.level) for r in found.collect()} == {(1, 77, 0), (2, 1, 1), (1, 2, 2)}
     assert orphan_cascade(tables(spark, [], []), REFS, {"parents": "parent"}).count() == 0
+
+
+def test_three_inherited_levels(spark):
+    """d names a missing record, c names d, b names c and a names b."""
+    from quillgraph.operators.orphans import Reference, Source, orphan_cascade
+
+    tables = {n: spark.createDataFrame([(1, 1), (2, 2)], f"{n}_id long, up long") for n in "abcd"}
+    tables["d"] = spark.createDataFrame([(1, 77), (2, 1)], "d_id long, up long")
+    tables["e"] = spark.createDataFrame([(1, None)], "e_id long, up long")
+    sources = {n: Source(df, f"{n}_id", None) for n, df in tables.items()}
+    refs = [Reference(x, "up", y) for x, y in zip("abcd", "bcde")]
+    got = {(r.table_name, r.record_id, r.level, r.reason) for r in orphan_cascade(sources, refs, {n: n for n in "bcde"}).collect()}
+    assert got == {("d", 1, 0, "missing"), ("c", 1, 1, "inherited"), ("b", 1, 2, "inherited"), ("a", 1, 3, "inherited")}
