@@ -115,6 +115,20 @@ def definite_descriptions(s, d):
     return reduce(DataFrame.unionByName, found)
 
 
+def described_entities(s, d):
+    """Descriptions of all three kinds in documents with a sentence at their end, resolved
+    to one name a document with one alias; the last letter of the name tells the kind."""
+    text = F.concat("text", F.lit(" My father met the author in the district of the committee."))
+    docs = table(s, d, "documents").where("text IS NOT NULL AND doc_name IS NOT NULL").select("doc_id", "doc_name", text.alias("text"))
+    kinds = {"Person": [w for _, w in X.KINSHIP], "Location": X.PLACES, "Organization": X.GROUPS}
+    found = []
+    for i, (kind, words) in enumerate(kinds.items()):
+        word = F.element_at(F.array(*(F.lit(w) for w in words)), (F.pmod("doc_id", F.lit(len(words))) + 1).cast("int"))
+        candidates = docs.select("doc_id", F.concat("doc_name", F.lit(f" {i}")).alias("name"), F.array(word).alias("aliases"))
+        found.append(X.describe(docs, candidates, kind).select("doc_id", "surface", "offset", "entity_name"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def proper_nouns(s, d):
     return X.proper_noun_rows(_docs(s, d))
 
@@ -180,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         chunk_character, chunk_surrounding, chunk_paragraph, chunk_ids, context_window, section_match, schema_autodetect, index_seeds, html_strip, vtt_strip, doc_prefix, pattern_ner, capitalised_ner,
-        relation_regex, definite_descriptions, proper_nouns, pronoun_resolution, span_clean, refine_budget, token_statistics, vector_upsert, doc_index, doc_delete, chunk_point_lookup,
+        relation_regex, definite_descriptions, described_entities, proper_nouns, pronoun_resolution, span_clean, refine_budget, token_statistics, vector_upsert, doc_index, doc_delete, chunk_point_lookup,
         reingest_detection, ragas_export, streaming_ingest,
     )
 }
@@ -235,6 +249,21 @@ SELECT doc_id, CASE WHEN isbn IS NOT NULL THEN 'Book' END AS schema_type, isbn,
     "relation_regex": f"""WITH r AS ({_RELS}),
 n AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS name FROM documents WHERE text IS NOT NULL)
 SELECT doc_id, src, dst, relation_type, round(CAST(confidence AS DOUBLE), 2) AS confidence FROM r SEMI JOIN n a ON a.doc_id = r.doc_id AND a.name = r.src SEMI JOIN n b ON b.doc_id = r.doc_id AND b.name = r.dst WHERE src <> dst""",
+    "described_entities": "WITH t AS (SELECT doc_id, doc_name, lower(text || ' My father met the author in the district of the committee.') AS low FROM documents WHERE text IS NOT NULL AND doc_name IS NOT NULL), "
+    + f"k AS (SELECT 0 AS kind, surface, word FROM (VALUES {', '.join(f'({chr(39)}{a}{chr(39)}, {chr(39)}{b}{chr(39)})' for a, b in X.KINSHIP)}) v(surface, word) UNION ALL SELECT 1, 'the ' || w, w FROM (SELECT unnest({X.PLACES}) AS w) UNION ALL SELECT 2, 'the ' || w, w FROM (SELECT unnest({X.GROUPS}) AS w)), "
+    + f"c AS (SELECT doc_id, 0 AS kind, doc_name || ' 0' AS name, {[w for _, w in X.KINSHIP]}[doc_id % {len(X.KINSHIP)} + 1] AS alias FROM t UNION ALL SELECT doc_id, 1, doc_name || ' 1', {X.PLACES}[doc_id % {len(X.PLACES)} + 1] FROM t UNION ALL SELECT doc_id, 2, doc_name || ' 2', {X.GROUPS}[doc_id % {len(X.GROUPS)} + 1] FROM t), "
+    + r"w AS (SELECT doc_id, kind, name, alias AS word FROM c WHERE kind = 0 UNION SELECT doc_id, kind, name, unnest(regexp_split_to_array(lower(name || ' ' || alias), '[^\p{L}]+')) FROM c WHERE kind > 0) "
+    + "SELECT doc_id, surface, CAST(instr(low, surface) - 1 AS INTEGER) AS offset, min(name) AS entity_name FROM t JOIN k ON contains(low, surface) JOIN w USING (doc_id, kind, word) GROUP BY 1, 2, 3",
+    "pattern_ner": rf"""WITH {CHUNK}, src AS (SELECT 'documents' AS source, doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'chunks', chunk_id, text FROM one WHERE text IS NOT NULL),
+t AS (SELECT source, doc_id, regexp_replace(text, '[^\x00-\x7F\x{{2000}}-\x{{206F}}\x{{a0}}]', '_', 'g') AS x FROM src),
+r AS (SELECT source, doc_id, unnest(regexp_extract_all(x, '\b(?i:{'|'.join(X.TITLES)})\.?\s+({_NAMEP})\b', 1)) AS name, 'Person' AS entity_type, 0.85 AS confidence FROM t
+  UNION ALL SELECT source, doc_id, unnest(regexp_extract_all(x, '({_NAMEP})\s+(?i:(?:is\s+)?(?:an?\s+)?(?:{'|'.join(X.ROLES)}))\b', 1)), 'Person', 0.75 FROM t
+  UNION ALL SELECT source, doc_id, unnest(regexp_extract_all(x, '\b({_NAMEP}\s+(?i:{'|'.join(X.ORGANISATIONS)}))\b', 1)), 'Organization', 0.8 FROM t)
+SELECT source, doc_id, min(regexp_replace(name, '\s+', ' ', 'g')) AS name, entity_type, CAST(max(confidence) AS DOUBLE) AS confidence FROM r GROUP BY source, doc_id, lower(regexp_replace(name, '\s+', ' ', 'g')), entity_type""",
+    "span_clean": rf"""WITH r AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\x00-\x7F\x{{2000}}-\x{{206F}}\x{{a0}}]', '_', 'g'), '\b({_NAMEP})\b', 1)) AS name FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, name, CAST(least(0.6, 0.3 + 0.1 * count(*)) AS DOUBLE) AS score FROM r WHERE length(name) > 2 AND lower(name) NOT IN ({', '.join(f"'{w}'" for w in X.COMMON)}) GROUP BY 1, 2),
+b AS (SELECT doc_id, lower(name) AS key, max(score) AS score, min(name) AS text FROM n GROUP BY 1, 2)
+SELECT doc_id, text, 'person' AS label, score FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.doc_id = b.doc_id AND contains(o.key, b.key) AND length(o.key) > length(b.key) AND length(o.key) - length(b.key) <= 20 AND b.score <= o.score + 0.05)""",
     "definite_descriptions": f"""WITH {MEN}, {CHUNK}, seen AS (SELECT chunk_id, name, coalesce(aliases, []) AS aliases, entity_type FROM men JOIN entities USING (entity_id) WHERE name IS NOT NULL),
 texts AS (SELECT 'documents' AS source, doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL UNION ALL SELECT 'chunks', chunk_id, lower(text) FROM one WHERE text IS NOT NULL),
 cand AS (SELECT 'documents' AS source, d.doc_id, seen.* EXCLUDE (chunk_id) FROM seen JOIN cd ON cd.chunk_id = seen.chunk_id JOIN documents d ON d.doc_name = cd.doc_id UNION ALL SELECT 'chunks', chunk_id, name, aliases, entity_type FROM seen),
