@@ -259,3 +259,12 @@ def parse_payload(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
     r = rows.select("chunk_id", F.explode("p.relations").alias("r")).where("r.`from` IS NOT NULL AND r.`to` IS NOT NULL")
     entities = e.select("chunk_id", F.trim("e.name").alias("name"), F.coalesce("e.type", F.lit("Unknown")).alias("entity_type"), "e.description", "e.fields")
     return entities, r.select("chunk_id", F.col("r.from").alias("src"), F.col("r.to").alias("dst"), F.col("r.relation").alias("relation_type"))
+
+
+def parse_spans(answers: DataFrame) -> DataFrame:
+    """``(doc_id, text, label, score)`` of a span model's answers (doc_id, answer): a JSON
+    list, or an object with it under ``entities``; what cannot be read gives no rows."""
+    span = "array<struct<text:string,label:string,score:double>>"
+    listed = F.coalesce(F.from_json("answer", span), F.from_json("answer", f"struct<entities:{span}>").getField("entities"))
+    rows = answers.select("doc_id", F.explode(listed).alias("s"))
+    return rows.select("doc_id", "s.text", "s.label", "s.score").where("text IS NOT NULL AND trim(text) <> ''")

@@ -73,15 +73,20 @@ def allowed_relations(relations: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def upsert_entities(observed: DataFrame) -> DataFrame:
-    """One row per normalised name and type: first name, summed mentions, union
-    of the aliases, longest description, earliest chunk."""
+    """One row per normalised name and type: of the first row its name, chunk and, where
+    there are such columns, gender and schema type; mentions summed, aliases and
+    evidence united, the longest description."""
     key = observed.withColumn("norm", normalize_name(F.col("name"))).withColumn("ord", F.struct("created_at", "entity_id"))
     aliases = key.select("norm", "entity_type", F.explode_outer("aliases").alias("alias")).groupBy("norm", "entity_type").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     longest = F.struct(F.length(F.coalesce("description", F.lit(""))), F.coalesce("description", F.lit("")))
+    others = [F.min_by(c, "ord").alias(c) for c in ("gender", "schema_type") if c in observed.columns]
     rows = key.groupBy("norm", "entity_type").agg(
-        F.min_by("entity_id", "ord").alias("entity_id"), F.min_by("name", "ord").alias("name"), F.sum("mention_count").alias("mention_count"),
+        *others, F.min_by("entity_id", "ord").alias("entity_id"), F.min_by("name", "ord").alias("name"), F.sum("mention_count").alias("mention_count"),
         F.min_by("first_chunk_id", "ord").alias("first_chunk_id"), F.max_by(F.coalesce("description", F.lit("")), longest).alias("description"),
     )
+    if "evidence" in observed.columns:
+        chunks = key.select("norm", "entity_type", F.explode_outer("evidence").alias("chunk")).groupBy("norm", "entity_type").agg(F.array_sort(F.collect_set("chunk")).alias("evidence"))
+        rows = rows.join(chunks, ["norm", "entity_type"])
     return rows.join(aliases, ["norm", "entity_type"])
 
 

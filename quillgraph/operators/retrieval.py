@@ -225,3 +225,12 @@ def run_metrics(run: DataFrame, qrels: DataFrame, cases: DataFrame, cuts: tuple[
     hits = [F.round(F.avg(F.coalesce(f"hit_{c}", F.lit(0))), 6).alias(f"hit_rate_{c}") for c in cuts]
     ndcg = [F.round(F.avg(f"ndcg_{c}"), 6).alias(f"ndcg_{c}") for c in cuts]
     return rows.agg(*hits, F.round(F.avg(F.coalesce("rr", F.lit(0.0))), 6).alias("mrr"), *ndcg)
+
+
+def sample_report(run: DataFrame, qrels: DataFrame, n: int = 3) -> DataFrame:
+    """``(query_id, rank, doc_id, relevant, n_relevant)`` of the n smallest query ids of a
+    run: what was found, whether it is relevant, and how many are."""
+    some = run.select("query_id").distinct().orderBy("query_id").limit(n)
+    counts = qrels.where("relevance > 0").join(some, "query_id", "left_semi").groupBy("query_id").agg(F.count("*").alias("n_relevant"))
+    rows = judged(run.join(some, "query_id", "left_semi"), qrels).join(counts, "query_id", "left")
+    return rows.select("query_id", "rank", "doc_id", (F.col("relevance") > 0).alias("relevant"), F.coalesce("n_relevant", F.lit(0)).alias("n_relevant"))

@@ -176,6 +176,14 @@ def memory_json(s, d):
     return sinks.json_rows(rows, "reinforcement")
 
 
+def store_stats(s, d):
+    """Documents, chunks, mentioned chunks, and documents that the graph reaches."""
+    c, m = chunks(s, d), mentions(s, d)
+    reached = c.join(m.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    rows = c.agg(F.countDistinct("doc_name").alias("n_docs"), F.count("*").alias("n_chunks"))
+    return rows.crossJoin(m.agg(F.countDistinct("chunk_id").alias("n_mentioned"))).crossJoin(reached.agg(F.countDistinct("doc_name").alias("n_mapped")))
+
+
 def doc_delete_ids(s, d):
     gone = s.createDataFrame([("listserv|tidal_discussion_full.txt",), ("no|such",)], "doc_name string")
     named = table(s, d, "chunks").select("doc_name").distinct().where("doc_name LIKE '%climate%'")
@@ -193,7 +201,7 @@ QUERIES = {
     for f in (
         doc_meta_prefix, extraction_scope, entity_type_filter, extracted_name_clean, context_line, entity_name_normalize, label_map, field_description, timestamp_parse, embedding_prefix, simple_ner,
         ner_ensemble, ner_dedupe, ner_chunks, coref_candidates, coref_places, graph_pronouns, place_pronouns, entity_contexts, refine_targets, relation_endpoints, corpus_graph_build,
-        improved_graph_build, forgetting_curves, mention_histogram, forgetting_examples, memory_json, doc_delete_ids, file_states,
+        improved_graph_build, forgetting_curves, mention_histogram, forgetting_examples, memory_json, store_stats, doc_delete_ids, file_states,
     )
 }
 
@@ -263,6 +271,7 @@ m AS (SELECT DISTINCT doc_id, k FROM id), nb AS (SELECT a.k, count(DISTINCT b.k)
 UNION ALL SELECT 'most', * FROM (SELECT * FROM e ORDER BY r DESC, coalesce(name, ''), entity_id LIMIT 8))
 SELECT kind, entity_id, name, r AS reinforcement, round({_S('r', 30)}, 3) AS day30, round({_S('r', 90)}, 3) AS day90, round({_S('r', 365)}, 3) AS day365, {_STATE(_S('r', 90))} AS state_day90, {_STATE(_S('r', 365))} AS state_day365 FROM x""",
     "memory_json": "SELECT r AS reinforcement, '{\"n\":' || n || ',\"reinforcement\":' || r || '}' AS json FROM (SELECT greatest(1, coalesce(mention_count, 1)) AS r, count(*) AS n FROM entities GROUP BY 1)",
+    "store_stats": f"WITH {MEN}, {CHUNK} SELECT count(DISTINCT doc_name) AS n_docs, count(*) AS n_chunks, (SELECT count(DISTINCT chunk_id) FROM men) AS n_mentioned, count(DISTINCT CASE WHEN chunk_id IN (SELECT chunk_id FROM men) THEN doc_name END) AS n_mapped FROM one",
     "doc_delete_ids": f"WITH {CHUNK} SELECT DISTINCT doc_name, chunk_id FROM one WHERE doc_name = 'listserv|tidal_discussion_full.txt' OR doc_name LIKE '%climate%'",
     "file_states": """WITH d AS (SELECT doc_name, min(doc_id) AS m, min(coalesce(n_chars, 0)) AS z FROM documents WHERE doc_name IS NOT NULL GROUP BY 1)
 SELECT doc_name, m AS mtime_secs, z + 1 AS file_size FROM d WHERE m % 3 = 0 UNION ALL SELECT doc_name, m, z FROM d WHERE m % 3 <> 0 AND m % 2 = 0 AND m % 5 <> 0""",

@@ -17,7 +17,7 @@ def _observed(s, d):
 
 
 def entity_upsert(s, d):
-    return G.upsert_entities(entities(s, d)).select("norm", "entity_type", "entity_id", "name", "mention_count", "description", F.array_join("aliases", "|").alias("aliases"))
+    return G.upsert_entities(entities(s, d)).select("norm", "entity_type", "entity_id", "name", "mention_count", "description", F.array_join("aliases", "|").alias("aliases"), "gender", "schema_type", F.array_join("evidence", ",").alias("evidence"))
 
 
 def relation_upsert(s, d):
@@ -260,9 +260,10 @@ _EXPECTED = ", ".join(f"('{k}', '{v}')" for k, fields in S.EXPECTED_FIELDS.items
 ORACLE = {
     "entity_upsert": f"""WITH k AS (SELECT *, {norm('name')} AS norm, row_number() OVER (PARTITION BY {norm('name')}, entity_type ORDER BY created_at NULLS FIRST, entity_id) AS rn FROM entities),
 al AS (SELECT norm, entity_type, string_agg(DISTINCT a, '|' ORDER BY a) AS aliases FROM (SELECT norm, entity_type, unnest(aliases) AS a FROM k) GROUP BY 1, 2)
-SELECT k.norm, k.entity_type, max(CASE WHEN rn = 1 THEN entity_id END) AS entity_id, max(CASE WHEN rn = 1 THEN name END) AS name, CAST(sum(mention_count) AS BIGINT) AS mention_count,
+, ek AS (SELECT norm, entity_type, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS evidence FROM (SELECT DISTINCT norm, entity_type, unnest(evidence) AS c FROM k) GROUP BY 1, 2)
+SELECT k.norm, k.entity_type, max(CASE WHEN rn = 1 THEN gender END) AS gender, max(CASE WHEN rn = 1 THEN schema_type END) AS schema_type, coalesce(any_value(ek.evidence), '') AS evidence, max(CASE WHEN rn = 1 THEN entity_id END) AS entity_id, max(CASE WHEN rn = 1 THEN name END) AS name, CAST(sum(mention_count) AS BIGINT) AS mention_count,
   max_by(coalesce(description, ''), (length(coalesce(description, '')), coalesce(description, ''))) AS description, coalesce(any_value(al.aliases), '') AS aliases
-FROM k LEFT JOIN al USING (norm, entity_type) GROUP BY 1, 2""",
+FROM k LEFT JOIN al USING (norm, entity_type) LEFT JOIN ek USING (norm, entity_type) GROUP BY 1, 2""",
     "relation_upsert": f"WITH {REL} SELECT src_id, dst_id, relation_type, CAST(n_evidence AS INTEGER) AS n_evidence, round(strength, 6) AS strength FROM rel",
     "familial_inverse": f"""WITH o AS (SELECT src_id, dst_id, relation_type, evidence_chunk_ids AS ev FROM relations WHERE src_id IS NOT NULL AND dst_id IS NOT NULL AND relation_type IN {_in(G.FAMILIAL)}),
 b AS (SELECT * FROM o UNION ALL SELECT dst_id, src_id, {_INV}, ev FROM o),

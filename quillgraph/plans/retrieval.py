@@ -93,6 +93,10 @@ def retriever_comparison(s, d):
     return rows.withColumn("mrr_delta_pct", F.round(F.when(base > 0, (F.col("mrr") - base) / base * 100).otherwise(0.0), 4)).withColumn("winner", (F.col("retriever") == winner).cast("int"))
 
 
+def sample_report(s, d):
+    return R.sample_report(_bm25(s, d, 5), _qrels(s, d))
+
+
 def _queries_of(vectors: DataFrame, key: str) -> DataFrame:
     return vectors.where(F.col(key) % 100 == 0).select(F.col(key).alias("query_id"), "embedding")
 
@@ -124,7 +128,7 @@ def cross_encoder(s, d):
     return R.model_rerank(pairs, predict, 10).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, bm25_idf, rrf_fusion, linear_ltr, simple_hybrid, hit_rate_at_k, mrr, ndcg_at_k, metrics_by_topic, retriever_comparison, cosine_topk, entity_vector_search, mmr, cross_encoder)}
+QUERIES = {f.__name__: f for f in (bm25_topk, bm25_idf, rrf_fusion, linear_ltr, simple_hybrid, hit_rate_at_k, mrr, ndcg_at_k, metrics_by_topic, retriever_comparison, sample_report, cosine_topk, entity_vector_search, mmr, cross_encoder)}
 
 _RUN = r"""
 tok AS (SELECT doc_id, unnest([x FOR x IN regexp_split_to_array(lower(coalesce(text, '')), '\s+') IF x <> '']) AS term FROM documents),
@@ -196,6 +200,8 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, doc_id, round(s, 6) AS score FROM (
 FROM (SELECT item_id AS query_id, topic FROM eval_cases) LEFT JOIN (SELECT * FROM perq WHERE retriever = 'bm25') USING (query_id) GROUP BY ROLLUP (topic)"""),
     "retriever_comparison": _with("""SELECT retriever, hit_rate_1, hit_rate_10, mrr, round(CASE WHEN b > 0 THEN (mrr - b) / b * 100 ELSE 0 END, 4) AS mrr_delta_pct, CAST(retriever = w AS INTEGER) AS winner
 FROM total CROSS JOIN (SELECT max(CASE WHEN retriever = 'bm25' THEN mrr END) AS b, max_by(retriever, (mrr, retriever)) AS w FROM total)"""),
+    "sample_report": _with("""SELECT h.query_id, CAST(rank AS INTEGER) AS rank, doc_id, hit AS relevant, coalesce(n, 0) AS n_relevant FROM hits h LEFT JOIN n_rel USING (query_id)
+WHERE retriever = 'bm25' AND rank <= 5 AND h.query_id IN (SELECT query_id FROM bm25 WHERE rank <= 5 GROUP BY 1 ORDER BY 1 LIMIT 3)"""),
     "cosine_topk": _nearest("embeddings", "vec_id", 10, "embedding IS NOT NULL", 6),
     "entity_vector_search": _nearest("entities", "entity_id", 5, "embedding IS NOT NULL", 5),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.common import shared_folder
+from quillgraph.common import cut, remove_folder, shared_folder
 from quillgraph.sources.stores import latest
 
 
@@ -35,10 +35,13 @@ def exposure_totals(events: DataFrame, delay: str = "10 minutes", window: str =
 
 
 def replay(spark: SparkSession, source: str, keys: list[str], order: str) -> DataFrame:
-    """One run of the stream over a folder, and the resulting store."""
+    """One run of the stream over a folder, and the resulting store; the stream's own
+    folders are deleted once the store is stored as the result."""
     import uuid
 
     base = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     query = ingest_into(chunk_stream(spark, source, spark.read.parquet(source).schema), f"{base}/store", keys, order, f"{base}/state")
     query.awaitTermination()
-    return current_rows(spark, f"{base}/store", keys, order)
+    rows = cut(current_rows(spark, f"{base}/store", keys, order))
+    remove_folder(spark, base)
+    return rows

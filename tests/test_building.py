@@ -147,6 +147,14 @@ def test_texts_and_ranking(spark):
     assert words == ["know", "harbour", "there"]
 
 
+def test_spans_of_a_model(spark):
+    from quillgraph.operators.extraction import parse_spans
+
+    answers = [(1, '[{"text": "Ann", "label": "person", "score": 0.9}, {"text": " "}]'), (2, '{"entities": [{"text": "Bo", "label": "org", "score": 1}]}'), (3, "down"), (4, None)]
+    got = sorted(tuple(r) for r in parse_spans(spark.createDataFrame(answers, "doc_id long, answer string")).collect())
+    assert got == [(1, "Ann", "person", 0.9), (2, "Bo", "org", 1.0)]
+
+
 def test_sinks_and_readers(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a", None), (2, None, 3)], "id int, name string, n int")
     sinks.write_memory_state(rows, rows, rows.limit(1), str(tmp_path / "m"))
