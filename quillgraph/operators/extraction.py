@@ -265,6 +265,7 @@ def parse_spans(answers: DataFrame) -> DataFrame:
     """``(doc_id, text, label, score)`` of a span model's answers (doc_id, answer): a JSON
     list, or an object with it under ``entities``; what cannot be read gives no rows."""
     span = "array<struct<text:string,label:string,score:double>>"
-    listed = F.coalesce(F.from_json("answer", span), F.from_json("answer", f"struct<entities:{span}>").getField("entities"))
+    inside = F.from_json("answer", f"struct<entities:{span}>").getField("entities")
+    listed = F.when(F.ltrim("answer").startswith("{"), inside).otherwise(F.from_json("answer", span))
     rows = answers.select("doc_id", F.explode(listed).alias("s"))
     return rows.select("doc_id", "s.text", "s.label", "s.score").where("text IS NOT NULL AND trim(text) <> ''")
