@@ -6,15 +6,22 @@ agree in a whole band are a candidate pair. A second fold of the samples, the
 odd sketch, is a bitmap of parities: the population count of the XOR of two
 sketches estimates how many samples differ, most precisely for high
 similarities, and discards nearly all candidates before the exact comparison.
+
+Chance candidates grow with the square of the table, so a row of a band carries
+the sketch and a pair is judged where its band is joined: only pairs that the
+sketches let through are ever stored. The bands are joined a few at a time, and
+the shuffle files of one round are deleted before the next.
 """
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import math
 import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.common import cut, tasks
@@ -22,13 +29,15 @@ from quillgraph.common import cut, tasks
 #: Bands and rows of a band: a pair at the threshold 0.7 shares a band with
 #: probability 0.968, one at 0.75 with 0.997, one at 0.8 with 0.9999.
 BANDS, ROWS = 40, 7
+#: Bands that are joined, and lie on disk, at once.
+ROUND = 8
 #: Bits of the odd sketch and the samples folded into it.
 WORDS64, SAMPLES = 6, 210
 #: Standard deviations that the sketch of a true pair may lie above its mean.
 TOLERANCE = 3.0
 #: Keys that may be broadcast (16 bytes each) after they were counted.
 BROADCAST_KEYS = 1_000_000
-#: Texts whose bands (16 bytes each) one task joins, on average.
+#: Texts whose rows of a round (some 75 bytes a band) one task joins, on average.
 TASK_TEXTS = 12_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -134,37 +143,31 @@ def _batches(batches: Iterator, size: int = 400) -> Iterator:
                 yield part.column(0).take(pa.array(kept)), [sets[i] for i in kept]
 
 
-def _band_keys(batches: Iterator) -> Iterator:
-    import numpy as np
-    import pyarrow as pa
-
-    signer, seen = _signer(BANDS * ROWS), set()
-    for _, sets in _batches(batches):
-        ids, values = signer.sign(sets)
-        fresh = [i for i, x in enumerate(ids.tolist()) if x not in seen and not seen.add(x)]
-        if len(seen) > 2_000_000:  # copies that come later are collapsed by the shuffle
-            seen.clear()
-        ids, values = ids[fresh], values[fresh].reshape(len(fresh), BANDS, ROWS).astype(np.uint64)
-        keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((len(fresh), 1), dtype=np.uint64)
-        for j in range(ROWS):
-            keys = _mixed(keys ^ values[:, :, j])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, BANDS)), pa.array(keys.view(np.int64).ravel())], names=["set_id", "band"])
-
-
-def _sketches(batches: Iterator) -> Iterator:
+def _signatures(batches: Iterator) -> Iterator:
+    """Of each text its set, odd sketch and, if the set is new to the task, band keys."""
     import numpy as np
     import pyarrow as pa
 
-    signer, bits = _signer(SAMPLES), 64 * WORDS64
-    for keys, sets in _batches(batches):
+    signer, bits, seen = _signer(BANDS * ROWS), 64 * WORDS64, set()
+    for key, sets in _batches(batches):
         ids, values = signer.sign(sets)
         n = len(ids)
-        bit = _mixed(values.astype(np.uint64) ^ (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
+        folded = values[:, -SAMPLES:].astype(np.uint64)
+        bit = _mixed(folded ^ (np.arange(1, SAMPLES + 1, dtype=np.uint64) << np.uint64(32))) % np.uint64(bits)
         at = (bit.astype(np.int64) + np.arange(n)[:, None] * bits).ravel()
         odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8).reshape(n, bits)
         sketch = np.packbits(odd, axis=1).view(np.int64)
-        columns = [keys, pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(WORDS64))]
-        yield pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "n", *(f"s{j}" for j in range(WORDS64))])
+        banded = values.reshape(n, BANDS, ROWS).astype(np.uint64)
+        bands = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((n, 1), dtype=np.uint64)
+        for j in range(ROWS):
+            bands = _mixed(bands ^ banded[:, :, j])
+        fresh = np.array([x not in seen and not seen.add(x) for x in ids.tolist()], dtype=bool)
+        if len(seen) > 2_000_000:  # copies that come later are collapsed by their set_id
+            seen.clear()
+        offsets = np.concatenate([[0], np.cumsum(fresh * BANDS)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[fresh].view(np.int64).ravel()), mask=pa.array(~fresh))
+        columns = [key, pa.array(ids), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(np.ascontiguousarray(sketch[:, j])) for j in range(WORDS64)), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "set_id", "n", *(f"s{j}" for j in range(WORDS64)), "bands"])
 
 
 def _word_hashes(batches: Iterator) -> Iterator:
@@ -189,31 +192,50 @@ def largest_distance(threshold: float) -> float:
     return mean + TOLERANCE * math.sqrt(spread)
 
 
+@contextlib.contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shuffle files of each query within as soon as it has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def near_duplicate_sets(df: DataFrame, key: str, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(links, members): pairs ``(set_a, set_b, similarity)`` of different word
     sets with at least ``threshold`` of their union in common, and ``(key,
     set_id)`` of every text that has a word.
 
     No text leaves its partition except those of the pairs that the sketches
-    let through. Copies meet only as one set, so a set that fills a third of the
+    let through, and no other pair is stored. Copies meet only as one set, so a set that fills a third of the
     table is one row of each band. No bucket is capped.
     """
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).where(F.col("key").isNotNull() & F.col("text").isNotNull())
     parts = max(tasks(df.sparkSession), -(-df.count() // TASK_TEXTS))
-    bands = rows.mapInArrow(_band_keys, "set_id bigint, band bigint").repartition(parts, "band").distinct()
     sketch_names = [f"s{j}" for j in range(WORDS64)]
-    signed = cut(rows.mapInArrow(_sketches, f"key {kind}, set_id bigint, n int, " + ", ".join(f"{s} bigint" for s in sketch_names)))
-    members = signed.select("key", "set_id").distinct()
-    sketches = signed.drop("key").dropDuplicates(["set_id"])
-
-    pairs = bands.alias("x").join(bands.alias("y"), F.expr("x.band = y.band AND x.set_id < y.set_id"))
-    pairs = pairs.select(F.col("x.set_id").alias("set_a"), F.col("y.set_id").alias("set_b")).repartition("set_a").distinct()
-    side = lambda one: sketches.select(F.col("set_id").alias(f"set_{one}"), F.col("n").alias(f"n_{one}"), *(F.col(s).alias(f"{s}_{one}") for s in sketch_names))
-    distance = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in sketch_names), F.lit(0))
-    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
-    likely = pairs.join(side("a"), "set_a").join(side("b"), "set_b").where(sizes & (distance <= largest_distance(threshold)))
-    likely = cut(likely.select("set_a", "set_b"))
+    schema = f"key {kind}, set_id bigint, n int, " + ", ".join(f"{s} bigint" for s in sketch_names) + ", bands array<bigint>"
+    distance = sum((F.bit_count(F.col(f"x.{s}").bitwiseXOR(F.col(f"y.{s}"))) for s in sketch_names), F.lit(0))
+    sizes = F.least("x.n", "y.n") >= threshold * F.greatest("x.n", "y.n") - 1e-9
+    alike = F.expr("x.band = y.band AND x.set_id < y.set_id") & sizes & (distance <= largest_distance(threshold))
+    with _freed_shuffles(df.sparkSession):
+        signed = cut(rows.mapInArrow(_signatures, schema).withColumn("row", F.monotonically_increasing_id()))
+        ids = cut(signed.select("key", "set_id", F.when(F.col("bands").isNotNull(), F.col("row")).alias("row")))
+        members = ids.select("key", "set_id").distinct()
+        # a set of which several tasks made band keys keeps those of one
+        first = ids.where("row IS NOT NULL").groupBy("set_id").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = cut(ids.join(first, "set_id").where("row <> first").select("row"))
+        few = again.count() <= BROADCAST_KEYS
+        sets = signed.where("bands IS NOT NULL").join(F.broadcast(again) if few else again, "row", "left_anti")
+        found = []
+        for start in range(1, BANDS + 1, ROUND):
+            own = sets.select("set_id", "n", *sketch_names, F.explode(F.slice("bands", start, ROUND)).alias("band")).repartition(parts, "band")
+            pairs = own.alias("x").join(own.alias("y"), alike)
+            found.append(cut(pairs.select(F.col("x.set_id").alias("set_a"), F.col("y.set_id").alias("set_b"))))
+        likely = cut(functools.reduce(DataFrame.unionByName, found).distinct())
 
     wanted = likely.select(F.explode(F.array("set_a", "set_b")).alias("set_id")).distinct()
     one_each = cut(members.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("key").alias("key")))

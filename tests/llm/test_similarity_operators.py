@@ -69,6 +69,32 @@ def test_near_duplicates_against_brute_force(spark):
     assert {*classes} == {*sets} and all(classes[i] == classes[i + 2] == i for i in range(0, 300, 3) if sets[i] == sets[i + 2])
 
 
+def test_chance_candidates_are_judged_before_they_are_stored(spark):
+    """Sets a third alike by chance share bands in numbers that grow with the square of the
+    table; nothing is shuffled for a pair that the sketches do not let through."""
+    rng = random.Random(12)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(77)]
+    rows = [(i, " ".join(rng.sample(vocabulary, 40))) for i in range(3000)]
+    rows += [(5000 + i, text + " ownword" + chr(97 + i)) for i, (_, text) in enumerate(rows[:20])] + [(6000 + i, text) for i, (_, text) in enumerate(rows[20:30])]
+    df = spark.createDataFrame(rows, "chunk_id long, text string").repartition(4, "chunk_id")
+    context, name = spark.sparkContext, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    stages = lambda: context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    written = lambda: {stages().apply(i).stageId(): stages().apply(i).shuffleWriteRecords() for i in range(stages().size())}
+    before, kept = written(), spark.conf.get(name)
+    links, _ = near_duplicates.near_duplicate_sets(df, "chunk_id", "text", 0.7)
+    moved = sum(n for i, n in written().items() if i not in before)
+    assert moved < 1.5 * near_duplicates.BANDS * len(rows), moved  # the rows of the bands alone are once that
+    assert spark.conf.get(name) == kept
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(t.split()), i)
+    each = [*sets]
+    bits = np.array([[w in s for w in [*vocabulary, *(f"ownword{chr(97 + i)}" for i in range(20))]] for s in each], dtype=np.int32)
+    common, size = bits @ bits.T, bits.sum(axis=1)
+    want = int((np.triu(common, 1) >= 0.7 * (size[:, None] + size - common) - 1e-9).sum())
+    assert want >= 20 and 0.9 * want <= links.count() <= want
+
+
 def test_name_forms():
     assert names.person_form("Capt. Richard U_ Frurk") == ("frurk", "richard", "u")
     assert names.person_form("Frurkig, Dick") == ("frurkig", "dick")
