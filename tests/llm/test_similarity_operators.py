@@ -154,3 +154,18 @@ def test_limits_come_from_known_pairs(spark):
     classes = {r.entity_id: r.class_id for r in names.same_entities(df).collect()}
     assert all(classes[3 * i + 1] == classes[3 * i] for i in range(40)) and not any(classes[3 * i + 2] == classes[3 * i] for i in range(0, 40, 2))
     assert sum(classes[3 * i + 2] == classes[3 * i] for i in range(1, 40, 2)) >= 18  # two standard deviations keep most
+
+
+def test_limits_come_from_every_known_pair(spark):
+    """12,000 rows bear the name of row 0; the 2,000 pairs with the largest hashes are unlike."""
+    from pyspark.sql import functions as F
+
+    hashes = {r.id: r.h for r in spark.range(1, 12_001).select("id", F.xxhash64(F.lit(0).cast("long"), "id").alias("h")).collect()}
+    rows = [(0, "Anna Smithson", [1.0, 0.0])] + [(k, "Anna Smithson", [1.0, 0.0] if i < 10_000 else [0.0, 1.0]) for i, k in enumerate(sorted(hashes, key=hashes.get))]
+    rows += [(20_000, "Bert Kowalczyk", [1.0, 0.0]), (20_001, "Bert Kowalczuk", [0.6, 0.8]), (20_002, "Clara Drinbazar", [1.0, 0.0]), (20_003, "Clara Drinbasar", [0.05, 1.0])]
+    df = spark.createDataFrame([(k, n, "Person", None, v) for k, n, v in rows], "entity_id long, name string, entity_type string, aliases array<string>, embedding array<double>")
+    classes = {r.entity_id: r.class_id for r in names.same_entities(df).collect()}
+    # of all pairs the mean is 0.833 and the deviation 0.373, so the limit is 0.088
+    assert classes[20_001] == classes[20_000] == 20_000
+    assert classes[20_003] != classes[20_002]
+    assert {classes[k] for k in range(12_001)} == {0}
