@@ -37,7 +37,7 @@ WORDS64, SAMPLES = 6, 210
 TOLERANCE = 3.0
 #: Keys that may be broadcast (16 bytes each) after they were counted.
 BROADCAST_KEYS = 1_000_000
-#: Texts whose rows of a round (some 75 bytes a band) one task joins, on average.
+#: Texts whose rows of a round (some 66 bytes a band) one task joins, on average.
 TASK_TEXTS = 12_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
