@@ -110,10 +110,11 @@ def subset(entities: DataFrame, relations: DataFrame, least_shared: int = 2) ->
 
 def fuzzy(entities: DataFrame, distance: int = 2) -> DataFrame:
     """Names of one type at most ``distance`` edits apart that share a token of at
-    least 4 letters; first tokens must not be different initials. At most two
-    tokens can differ, so a common one is among the three rarest of each."""
+    least 4 letters; first tokens must not be different initials. An edit changes at
+    most two tokens (a blank taken out), so a common one is among the rarest
+    ``2 * distance + 1`` of each."""
     rows = named(entities)
-    rows = rows.join(rarest_tokens(rows, distance + 1, 4), "entity_id").withColumn("len", F.length("norm"))
+    rows = rows.join(rarest_tokens(rows, 2 * distance + 1, 4), "entity_id").withColumn("len", F.length("norm"))
     pairs = _pairs(rows, ["token", "entity_type"]).where("a_entity_id < b_entity_id AND a_norm <> b_norm").where(F.abs(F.col("a_len") - F.col("b_len")) <= distance)
     first_a, first_b = F.element_at("a_words", 1), F.element_at("b_words", 1)
     initials = (F.length(first_a) == 1) & (F.length(first_b) == 1) & (first_a != first_b)
