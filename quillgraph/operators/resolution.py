@@ -1,9 +1,10 @@
 """Entity resolution in tiers: candidate pairs (keep_id, drop_id) of each rule.
 
 Candidates come from equality joins on keys. Where most of a name's tokens must
-be shared (:func:`subset`, :func:`fuzzy`), each name is looked up by its few
-rarest tokens, which keeps frequent ones out of the joins; where any one token
-is enough (:func:`by_embedding`), by all of them, the frequent ones in blocks.
+be shared (:func:`subset`), each name is looked up by its few rarest tokens, and
+where most of its letters (:func:`fuzzy`), by its few rarest runs of letters, which
+keeps frequent ones out of the joins; where any one token is enough
+(:func:`by_embedding`), by all of them, the frequent ones in blocks.
 Ties go to the entity with more mentions, then the smaller id.
 """
 
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillgraph.common import tasks
 from quillgraph.functions.scalar import has_disambiguation_token, normalize_name, significant_words, strip_qualifications, stripped_key
 from quillgraph.operators.graph import SYMMETRIC, adjacency, neighbours
 
@@ -108,19 +110,58 @@ def subset(entities: DataFrame, relations: DataFrame, least_shared: int = 2) ->
     return shared_neighbours(pairs, relations, "keep_id", "drop_id").where(F.col("n_shared") >= least_shared).select("keep_id", "drop_id")
 
 
+def _shortened(norm: Column, letters: int) -> Column:
+    """``norm`` with up to that many letters after the first taken out, in all ways."""
+    forms = F.array(norm)
+    for _ in range(letters):
+        shorter = F.transform(forms, lambda v: F.transform(F.sequence(F.lit(2), F.greatest(F.length(v), F.lit(2))), lambda i: F.concat(v.substr(F.lit(1), i - 1), v.substr(i + 1, F.length(v)))))
+        forms = F.array_distinct(F.concat(forms, F.flatten(shorter)))
+    return forms
+
+
+def name_keys(names: DataFrame, distance: int, run: int = 4, buckets: int = 1 << 18) -> DataFrame:
+    """``(key, entity_type, norm)``: keys of the different ``names`` (entity_type, norm), of
+    which any two of one type and first letter at most ``distance`` edits apart share one.
+
+    An edit changes at most ``run`` of a name's runs of ``run`` letters, so two names
+    have one of the ``run * distance + 1`` rarest of each in common, whatever order
+    ranks them; it is by the count of a run's bucket, which bounds the broadcast.
+    Names too short for so many runs are looked up with letters taken out.
+    """
+    first, length = F.substring("norm", 1, 1), F.length("norm")
+    key = lambda v: F.xxhash64("entity_type", first, v)
+    least = run * (distance + 1)
+    runs = F.array_distinct(F.transform(F.sequence(F.lit(1), length - (run - 1)), lambda i: key(F.col("norm").substr(i, F.lit(run)))))
+    runs = names.where(length >= least).select("entity_type", "norm", F.explode(runs).alias("key")).withColumn("bucket", F.pmod("key", F.lit(buckets)).cast("int"))
+    counts = runs.groupBy("bucket").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("entity_type", "norm").orderBy("n", "key")
+    rare = runs.join(F.broadcast(counts), "bucket").withColumn("r", F.row_number().over(order)).where(F.col("r") <= run * distance + 1)
+    # of two names one of which is too short, the other is at most distance letters longer
+    short = names.where(length < least + distance).select(F.explode(F.array_distinct(F.transform(_shortened(F.col("norm"), distance), key))).alias("key"), "entity_type", "norm")
+    return rare.select("key", "entity_type", "norm").unionByName(short)
+
+
+def close_names(names: DataFrame, distance: int) -> DataFrame:
+    """``(entity_type, a_norm, b_norm)``: all pairs of the different ``names`` (entity_type,
+    norm) of one type and first letter that are at most ``distance`` edits apart, once each."""
+    pairs = _pairs(name_keys(names, distance), ["key"]).where("a_entity_type = b_entity_type AND a_norm < b_norm").where(F.abs(F.length("a_norm") - F.length("b_norm")) <= distance)
+    pairs = pairs.where((F.substring("a_norm", 1, 1) == F.substring("b_norm", 1, 1)) & (F.levenshtein("a_norm", "b_norm", distance) >= 0))
+    return pairs.select(F.col("a_entity_type").alias("entity_type"), "a_norm", "b_norm").distinct()
+
+
 def fuzzy(entities: DataFrame, distance: int = 2) -> DataFrame:
     """Names of one type at most ``distance`` edits apart that share a token of at
-    least 4 letters; first tokens must not be different initials. An edit changes at
-    most two tokens (a blank taken out), so a common one is among the rarest
-    ``2 * distance + 1`` of each."""
+    least 4 letters; first tokens must begin with the same letter, so they are not
+    different initials. Close names are found first, whatever they share, since a
+    shared token may be a frequent one; then come the entities of each name."""
     rows = named(entities)
-    rows = rows.join(rarest_tokens(rows, 2 * distance + 1, 4), "entity_id").withColumn("len", F.length("norm"))
-    pairs = _pairs(rows, ["token", "entity_type"]).where("a_entity_id < b_entity_id AND a_norm <> b_norm").where(F.abs(F.col("a_len") - F.col("b_len")) <= distance)
-    first_a, first_b = F.element_at("a_words", 1), F.element_at("b_words", 1)
-    initials = (F.length(first_a) == 1) & (F.length(first_b) == 1) & (first_a != first_b)
-    start = F.substring(first_a, 1, 1) == F.substring(first_b, 1, 1)
-    close = F.levenshtein("a_norm", "b_norm", distance) >= 0
-    return _kept(pairs.where(~initials & start & close))
+    long_words = lambda words: F.filter(words, lambda w: F.length(w) >= 4)
+    # a fixed number of parts: each name becomes some 20 rows, which the size of the parts does not tell
+    names = rows.where(F.size(long_words("words")) > 0).select("entity_type", "norm").repartition(tasks(entities.sparkSession), "entity_type", "norm").distinct()
+    pairs = close_names(names, distance).where(F.arrays_overlap(long_words(F.split("a_norm", " ")), long_words(F.split("b_norm", " "))))
+    for side in ("a", "b"):
+        pairs = pairs.join(rows.select("entity_type", *(F.col(c).alias(f"{side}_{c}") for c in ("norm", "entity_id", "mention_count"))), ["entity_type", f"{side}_norm"])
+    return _kept(pairs)
 
 
 def qualification(entities: DataFrame) -> DataFrame:

@@ -34,3 +34,32 @@ def test_blanks_taken_out_change_two_tokens_each(spark):
     want = _all_pairs(rows)
     assert want == {(2, 1), (1, 3), (2, 3)}
     assert {tuple(r) for r in R.fuzzy(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
+def test_names_of_all_lengths_with_frequent_words(spark):
+    pick = random.Random(3)
+    kept = ["noor", "theory", "institute of records", "aaaa", "åbøå"]
+    rows = []
+    for i in range(160):
+        word = "".join(pick.choice("abå" if i % 2 else "abcdefgh") for _ in range(pick.randint(1, 12)))
+        name = pick.choice([f"{word} {{}}", f"{{}} {word}", f"a {word} {{}}"]).format(pick.choice(kept))
+        for _ in range(3):
+            rows.append((len(rows), pick.choice(["Person", "Person", "Work", None]), pick.randint(1, 3), name))
+            at = pick.randrange(1, len(name))
+            name = " ".join((name[:at] + pick.choice(["", "b", " ", "å"]) + name[at + pick.randint(0, 1) :]).split())
+    want = _all_pairs([(i, kind, -i, name) for i, kind, _, name in rows])
+    mentions = {r[0]: r[2] for r in rows}
+    want = {(a, b) if mentions[a] >= mentions[b] else (b, a) for a, b in want}
+    assert len(want) > 100
+    got = [tuple(r) for r in R.fuzzy(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_frequent_words_compare_few_names(spark):
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(10))
+    names = [("Concept", f"s{word()} theory") for _ in range(2000)]
+    keys = R.name_keys(spark.createDataFrame(names, "entity_type string, norm string"), 2)
+    compared = keys.groupBy("key").count().selectExpr("sum(count * (count - 1) / 2) AS n").first().n
+    # by shared tokens it would be each with each, 1,999,000
+    assert compared < 100_000
